@@ -148,7 +148,7 @@ def _routed(docs: DataFrame, index: DataFrame, shards: int, min_chars: int, task
     probes = held.withColumn("shard", _shard(F.col("digest"), shards)).withColumn("salt", F.pmod(F.xxhash64("holder"), F.lit(salts)).cast("int"))
     copies = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
-    def probe(left: pa.Table, right: pa.Table) -> pa.Table:
+    def probe(left, right):
         if not left.num_rows or not right.num_rows:
             return left.select(["digest", "holder"]).slice(0, 0)
         k = right.column("shard")[0].as_py()

@@ -131,7 +131,7 @@ def _merge(group: pa.Table, level: int, home: int, size: int, space: int, keep_i
 
 
 def _merger(level: int, size: int, space: int, keep_ids: bool, cut: bool, last: bool) -> Callable:
-    def merge(key, group: pa.Table) -> pa.Table:
+    def merge(key, group):
         return _merge(group, level, key[0].as_py(), size, space, keep_ids, cut, last)
 
     return merge
