@@ -65,7 +65,7 @@ class Packer:
 
 def _digested(pieces: list[tuple], keep_ids: bool) -> list[dict]:
     names = [f.name for f in PIECE]
-    return [dict(zip(names, (*p[:4], p[4] if keep_ids else zlib.crc32(p[4]).to_bytes(4, "little")))) for p in pieces]
+    return [dict(zip(names, (*p[:4], p[4] if keep_ids else zlib.crc32(p[4]).to_bytes(4, "big")))) for p in pieces]
 
 
 class _Rows:
@@ -145,7 +145,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = 4096, space:
     windows each, is merged ``fan_in`` partitions at a time until one group is left, which is cut to whole sequences and
     one sequence for each power of two in the rest, so none of them is padded. With ``cut=False`` documents under
     ``size`` stay whole and windows may be padded. Repeated rows are documents of their own; a null doc_id stays null;
-    an empty table gives no pieces. With ``keep_ids=False``, ``ids`` holds the crc32 of a piece's ids (4 bytes, little-endian).
+    an empty table gives no pieces. With ``keep_ids=False``, ``ids`` holds the crc32 of a piece's ids (4 bytes, big-endian).
 
     Nothing is shuffled but the open windows. The windows are written once to the shared folder, so a task that runs
     again after a lost executor makes the same rows.

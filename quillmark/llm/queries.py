@@ -28,7 +28,7 @@ def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_table(spark, sf_dir, "documents"), keep_ids=False)
-    digest = F.conv(F.hex(F.reverse(F.col("ids"))), 16, 10).cast("long")
+    digest = F.conv(F.hex("ids"), 16, 10).cast("long")
     return pieces.select("doc_id", "start", "length", digest.alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
