@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import lines, packing, sstable
+from quillmark.llm import embedding_dedup, lines, packing, sstable, topk
 from quillmark.llm.common import scratch
 
 
@@ -20,12 +20,20 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     uri = scratch(spark, "shards")
     made = sstable.write_shards(_table(spark, sf_dir, "documents"), uri)
     return sstable.read_shards(spark, uri, made).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_table(spark, sf_dir, "documents"), keep_ids=False)
     digest = F.conv(F.hex("ids"), 16, 10).cast("long")
@@ -33,7 +41,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_line_dedup, op7_token_shards, op10_packing)}
+    return {f.__name__: f for f in (op4_line_dedup, op6_top_k, op7_token_shards, op8_embedding_dedup, op10_packing)}
 
 
 LINE_DEDUP_SQL = r"""
@@ -52,5 +60,36 @@ FROM marked GROUP BY doc_id
 """
 
 
+TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.x AS DOUBLE[]), CAST(c.x AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM pairs
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+VECTOR_LINKS_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+), usable AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND len(x) > 0
+    AND len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND list_inner_product(x, x) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.x, b.x) / (sqrt(list_inner_product(a.x, a.x)) * sqrt(list_inner_product(b.x, b.x))) >= 0.98
+), reached AS (
+  SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a
+)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, c.component_id, vec_id = c.component_id AS kept
+FROM v JOIN (SELECT a, min(b) AS component_id FROM reached GROUP BY a) c ON c.a = vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": LINE_DEDUP_SQL}
+    return {"op4_line_dedup": LINE_DEDUP_SQL, "op6_top_k": TOP_K_SQL, "op8_embedding_dedup": VECTOR_LINKS_SQL}
