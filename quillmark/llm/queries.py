@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import embedding_dedup, lines, packing, quality, sstable, topk, toxicity
-from quillmark.llm.common import scratch
+from quillmark.llm import embedding_dedup, lines, packing, ppm, quality, sstable, topk, toxicity
+from quillmark.llm.common import crc_residue, scratch
 from quillmark.llm.labelled import held_out
 
 
@@ -23,6 +23,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = F.coalesce(crc_residue("doc_id", 10) == 0, F.lit(False))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", out)
+    return ppm.score(docs, ~F.col("held_out"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = lines.drop_shared_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -55,7 +61,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op4_line_dedup, op6_top_k, op7_token_shards, op8_embedding_dedup, op9_quality, op10_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_lm_scoring, op4_line_dedup, op6_top_k, op7_token_shards, op8_embedding_dedup, op9_quality, op10_packing)}
 
 
 LINE_DEDUP_SQL = r"""
