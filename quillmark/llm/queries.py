@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import embedding_dedup, lines, packing, ppm, quality, sstable, topk, toxicity
+from quillmark.llm import embedding_dedup, lines, mixing, packing, ppm, quality, sstable, topk, toxicity
 from quillmark.llm.common import crc_residue, scratch
 from quillmark.llm.labelled import held_out
 
@@ -34,6 +34,20 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def mixed(docs: DataFrame, keep: float = 0.7) -> DataFrame:
+    """``docs`` with tokens, topic, probability and kept: sources tempered to the power 0.5, languages to 0.7, topics to equal shares."""
+    sized = mixing.measured(docs)
+    small = sized.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("n_tokens")).persist()
+    margins = [mixing.Margin(c, mixing.tempered(mixing.category_totals(small, c), p)) for c, p in (("source", 0.5), ("lang", 0.7), ("topic", 0.0))]
+    small.unpersist()
+    return mixing.mix(sized, margins, keep)
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixed(docs).select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "kept")
+
+
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -61,7 +75,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_lm_scoring, op4_line_dedup, op6_top_k, op7_token_shards, op8_embedding_dedup, op9_quality, op10_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_lm_scoring, op4_line_dedup, op5_mixing, op6_top_k, op7_token_shards, op8_embedding_dedup, op9_quality, op10_packing)}
 
 
 LINE_DEDUP_SQL = r"""

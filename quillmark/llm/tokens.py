@@ -74,7 +74,7 @@ class WordEncoder:
         chunks = set().union(*split) if split else set()
         if len(self.known) > self.most:
             self.known.clear()
-        long = self.learn(chunks - self.known.keys())
+        long = self.learn(chunks.difference(self.known))
         get = (lambda c: long[c] if c in long else self.known[c]) if long else self.known.__getitem__
         return [b"".join(map(get, words)) + end for words in split]
 

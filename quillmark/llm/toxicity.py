@@ -90,7 +90,7 @@ def _tokens(text: bytes) -> list[str]:
 def _scan(model: ToxicityModel, known: dict[str, float], words: list[str]) -> list[tuple[int, int, float]]:
     if len(known) > 500_000:
         known.clear()
-    for w in set(words) - known.keys():
+    for w in set(words).difference(known):
         known[w] = model.token(w)
     return segments(np.fromiter(map(known.__getitem__, words), np.float64, len(words))) if words else []
 
