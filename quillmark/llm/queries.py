@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import embedding_dedup, lines, mixing, packing, ppm, quality, sstable, topk, toxicity
+from quillmark.llm import embedding_dedup, lines, mixing, near_dedup, packing, ppm, quality, sstable, topk, toxicity
 from quillmark.llm.common import crc_residue, scratch
 from quillmark.llm.labelled import held_out
 
@@ -29,6 +29,10 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(docs, ~F.col("held_out"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.link_documents(_table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = lines.drop_shared_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -75,7 +79,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_lm_scoring, op4_line_dedup, op5_mixing, op6_top_k, op7_token_shards, op8_embedding_dedup, op9_quality, op10_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_lm_scoring, op3_near_dedup, op4_line_dedup, op5_mixing, op6_top_k, op7_token_shards, op8_embedding_dedup, op9_quality, op10_packing)}
 
 
 LINE_DEDUP_SQL = r"""
