@@ -251,7 +251,10 @@ def link_documents(docs: DataFrame, percent: int = 75, most_sent: int = 1_000_00
     rows = rows.join(details.select("id", "sketch"), "id").select("key", "i", "j", "block", "id", "component", "n", "sketch")
     across = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_within_blocks(percent, at_least), "a long, b long")
     more = confirmed(stored(across.distinct(), "across"), "more")
-    whole = components(links.unionByName(more))
+    placed = sketches.where("digest IS NOT NULL AND doc_id IS NOT NULL").join(classes.select("digest", "id"), "digest").select("doc_id", "id")
+    several_texts = placed.groupBy("doc_id").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("doc_id")
+    bridges = placed.join(several_texts, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    whole = components(links.unionByName(more).unionByName(bridges))
     named = classes.select("digest", "id").join(whole, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     out = sketches.where("digest IS NOT NULL AND doc_id IS NOT NULL").join(named, "digest").select("doc_id", "n", "component_id")
     rest = sketches.where("digest IS NULL OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
