@@ -47,3 +47,14 @@ def represented(column: str, representation: str, raw: str = "raw_") -> dict[str
 def overall_distance(columns: list[str]) -> Column:
     """Root mean square of the z-score differences."""
     return F.sqrt(sum(((F.col(f"a_{c}") - F.col(f"b_{c}")) * (F.col(f"a_{c}") - F.col(f"b_{c}")) for c in columns), F.lit(0.0)) / len(columns))
+
+
+def embedding_input(columns: list[str], fitted: dict[str, tuple[float, float]], profile: str, scale: float = 4.0, clip: float = 5.0) -> Column:
+    """What the embedding network reads, as 32-bit floats: z-scores, then the roots of the profile's shares times ``scale``."""
+    z = F.array(*[zscore(c, fitted[c], clip).cast("float") for c in columns])
+    return F.concat(z, F.transform(profile, lambda v: (F.sqrt(F.greatest(F.lit(0.0), v)) * scale).cast("float")))
+
+
+def bucket_differences(profile: str) -> Column:
+    """Absolute differences of two profiles, bucket by bucket, for full pair vectors."""
+    return F.zip_with(f"a_{profile}", f"b_{profile}", lambda x, y: F.abs(x - y))

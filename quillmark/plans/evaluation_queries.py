@@ -221,3 +221,23 @@ def importance_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     runs = spark.createDataFrame(ABLATIONS, "model string, experiment string, macro_f1 double, sd double")
     return rounded(importances(runs))
+
+
+@query(f"""WITH {SCORED}, f AS (SELECT level, count(*) AS pairs, count(DISTINCT doc_id) AS documents, count(*) FILTER (label = 1) AS switches, round(avg(label), 6) AS switch_rate,
+min(doc_id * 100000 + sent_idx) FILTER (label = 1) AS first_change, min(doc_id * 100000 + sent_idx) FILTER (label = 0) AS first_same FROM scored GROUP BY level) SELECT * FROM f""")
+def dataset_explore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each level: pairs, documents, switches, their rate, and where the first pair of each class is."""
+    place = F.col("doc_id") * 100000 + F.col("sent_idx")
+    first = lambda y: F.min(F.when(F.col("label") == y, place))
+    return rounded(scored_pairs(spark, sf_dir).groupBy("level").agg(
+        F.count("*").alias("pairs"), F.count_distinct("doc_id").alias("documents"), F.count_if(F.col("label") == 1).alias("switches"), F.avg("label").alias("switch_rate"), first(1).alias("first_change"), first(0).alias("first_same")
+    ))
+
+
+@query(f"""WITH {SCORED}, d AS (SELECT doc_id, level, avg(score) AS m FROM scored GROUP BY ALL), p AS (SELECT level, CASE WHEN m < 0.15 THEN 'easy' WHEN m < 0.25 THEN 'medium' ELSE 'hard' END AS said FROM d)
+SELECT level, count(*) FILTER (said = 'easy') AS easy, count(*) FILTER (said = 'medium') AS medium, count(*) FILTER (said = 'hard') AS hard FROM p GROUP BY level""")
+def level_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """True levels against said ones, three by three."""
+    d = scored_pairs(spark, sf_dir).groupBy("doc_id", "level").agg(F.avg("score").alias("m"))
+    said = d.withColumn("said", F.when(F.col("m") < 0.15, "easy").when(F.col("m") < 0.25, "medium").otherwise("hard"))
+    return said.groupBy("level").pivot("said", list(LEVELS)).agg(F.count("doc_id")).na.fill(0)

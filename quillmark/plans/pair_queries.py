@@ -128,3 +128,24 @@ def pair_distance_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = pairs.neighbours(profiles.char_profile(_sentences(spark, sf_dir), 3, BUCKETS), ["profile"])
     measures = profiles.distances(F.col("a_profile"), F.col("b_profile"))
     return rounded(near.select("doc_id", "sent_idx", *[(v + NUDGE).alias(k) for k, v in measures.items()]))
+
+
+@query(f"""WITH {VECTORS}, {STATS}, {Z}, {GRAMS}, {HASHED}, {COUNTED}
+SELECT doc_id, sent_idx, {', '.join(f'round(CAST(CAST({c} AS FLOAT) AS DOUBLE), 4) AS z{k}' for k, c in enumerate(SCALED))}, round(CAST(CAST(coalesce(sqrt(p), 0) * 4 AS FLOAT) AS DOUBLE), 4) AS b0
+FROM z LEFT JOIN (SELECT * FROM sh WHERE bucket = 0) USING (doc_id, sent_idx)""")
+def embedding_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _sentences(spark, sf_dir)
+    v = _vectors(spark, sf_dir)
+    fitted = pairs.fit_scaler(v, list(SCALED))
+    both = v.join(profiles.char_profile(s, 3, BUCKETS).select("doc_id", "sent_idx", "profile"), ["doc_id", "sent_idx"])
+    x = both.select("doc_id", "sent_idx", pairs.embedding_input(list(SCALED), fitted, "profile").alias("x"))
+    return rounded(x.select("doc_id", "sent_idx", *[F.col("x")[k].cast("double").alias(f"z{k}") for k in range(len(SCALED))], F.col("x")[len(SCALED)].cast("double").alias("b0")), 4)
+
+
+@query(f"""WITH {SENTS}, {GRAMS}, {HASHED}, {COUNTED}, pairs AS (SELECT doc_id, sent_idx FROM (SELECT doc_id, sent_idx, lead(sent_idx) OVER (PARTITION BY doc_id ORDER BY sent_idx) AS nx FROM sents) WHERE nx IS NOT NULL)
+SELECT pairs.doc_id, pairs.sent_idx, CAST(k AS INT) AS bucket, round(abs(coalesce(x.p, 0) - coalesce(y.p, 0)) + 1e-9, 6) AS difference FROM pairs, range({BUCKETS}) AS r(k)
+  LEFT JOIN sh x ON x.doc_id = pairs.doc_id AND x.sent_idx = pairs.sent_idx AND x.bucket = k LEFT JOIN sh y ON y.doc_id = pairs.doc_id AND y.sent_idx = pairs.sent_idx + 1 AND y.bucket = k""")
+def bucket_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = pairs.neighbours(profiles.char_profile(_sentences(spark, sf_dir), 3, BUCKETS), ["profile"])
+    out = near.select("doc_id", "sent_idx", F.posexplode(pairs.bucket_differences("profile")).alias("bucket", "difference"))
+    return rounded(out.withColumn("difference", F.col("difference") + NUDGE))

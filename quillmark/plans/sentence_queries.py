@@ -159,3 +159,17 @@ def scalars_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     s = scalars.prepared(sentences(_documents(spark, sf_dir))).select("doc_id", "sent_idx", "w")
     return rounded(mean_tfidf(s, *document_frequency(s)))
+
+
+EMOTIONS = [("the", 1, 0, 0), ("der", 0, 1, 0), ("idiot", 1, 0, 1), ("la", 0, 2, 1), ("with", 0, 0, 1)]
+
+
+@query(f"""WITH {PREP}, lex AS (SELECT * FROM (VALUES {', '.join(map(str, EMOTIONS))}) AS t(word, anger, joy, trust)),
+k AS (SELECT doc_id, sent_idx, unnest(list_transform(tokens, lambda x: lower(regexp_replace(x, '[^a-zA-Z'']', '', 'g')))) AS word FROM prep),
+s AS (SELECT doc_id, sent_idx, [sum(anger), sum(joy), sum(trust)] AS v FROM k JOIN lex USING (word) GROUP BY ALL)
+SELECT doc_id, sent_idx, round(CASE WHEN v IS NULL OR len(list_filter(v, lambda x: x > 0)) = 0 THEN 0 ELSE list_avg(list_filter(v, lambda x: x > 0)) / per_token END, 6) AS emotion_score FROM prep LEFT JOIN s USING (doc_id, sent_idx)""")
+def scalars_emotion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmark.operators.emotion import emotion_score
+
+    lexicon = spark.createDataFrame(EMOTIONS, "word string, anger int, joy int, trust int")
+    return rounded(emotion_score(scalars.prepared(sentences(_documents(spark, sf_dir))), lexicon, ("anger", "joy", "trust")))
