@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from quillmark.llm.common import lower_words, scratch, ship, slices, texts
 
-ORDER = 6
+ORDER = 5
 END = b"\n"
-SLOTS = 1 << 21
+SLOTS = 1 << 20
+BATCH = 2 << 20  # bytes of text; arrays of one batch take some fifty times as much
 ALPHABET = 256
 
 
@@ -47,12 +48,22 @@ def slot(x: np.ndarray, slots: int) -> np.ndarray:
     return ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - slots.bit_length())).astype(np.int64)
 
 
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order with their counts' sums."""
+    distinct, back = np.unique(keys, return_inverse=True)
+    return distinct, np.bincount(back, counts, minlength=len(distinct)).astype(np.int64)
+
+
 class GramCounter:
-    """Counts of 64-bit numbers in bounded space: frequent ones gather in slots, and the rest leave in sorted runs."""
+    """Counts of 64-bit numbers in bounded space: the first number of each slot is counted there, and the others in sorted
+    runs, which are merged when they are long and leave when there are too many."""
 
-    def __init__(self, slots: int = SLOTS):
+    def __init__(self, slots: int = SLOTS, most: int = 2_000_000):
         self.keys, self.counts, self.used = np.zeros(slots, np.uint64), np.zeros(slots, np.int64), np.zeros(slots, bool)
-    def add(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.runs, self.held, self.most = [], 0, most
+
+    def add(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Count numbers; what leaves, if the runs got too long."""
         at = slot(x, len(self.keys))
         hit = self.used[at] & (self.keys[at] == x)
         self.counts += np.bincount(at[hit], minlength=len(self.counts))
@@ -63,11 +74,26 @@ class GramCounter:
         self.used[at[free]] = True
         placed = free & (self.keys[at] == keys)
         self.counts[at[placed]] += counts[placed]
-        return keys[~placed], counts[~placed]
+        self.runs.append((keys[~placed], counts[~placed]))
+        self.held += len(self.runs[-1][0])
+        if self.held <= self.most:
+            return None
+        keys, counts = self._merged()
+        if len(keys) <= self.most // 2:
+            self.runs, self.held = [(keys, counts)], len(keys)
+            return None
+        self.runs, self.held = [], 0
+        return keys, counts
+
+    def _merged(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.runs:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return summed(np.concatenate([k for k, _ in self.runs]), np.concatenate([c for _, c in self.runs]))
 
     def rest(self) -> tuple[np.ndarray, np.ndarray]:
         full = self.counts > 0
-        return self.keys[full], self.counts[full]
+        keys, counts = self._merged()
+        return np.concatenate([self.keys[full], keys]), np.concatenate([self.counts[full], counts])
 
 
 class Trie:
@@ -167,7 +193,7 @@ class Trie:
 COUNTED = pa.schema([("word", pa.binary()), ("gram", pa.int64()), ("n", pa.int64())])
 
 
-def _counted(batches: Iterator[pa.RecordBatch], order: int, most_words: int = 400_000) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], order: int, most_words: int = 200_000) -> Iterator[pa.RecordBatch]:
     """Counts of words and of grams of ``order`` + 1 bytes in this partition, in parts."""
     words: Counter[bytes] = Counter()
     counter = GramCounter()
@@ -179,7 +205,7 @@ def _counted(batches: Iterator[pa.RecordBatch], order: int, most_words: int = 40
     def of_grams(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.binary()), pa.array(keys.view(np.int64)), pa.array(counts)], schema=COUNTED)
 
-    for batch in slices(batches, 8 << 20):
+    for batch in slices(batches, BATCH):
         documents = [lower_words(x) for x in texts(batch)]
         for w in documents:
             words.update(w)
@@ -187,7 +213,8 @@ def _counted(batches: Iterator[pa.RecordBatch], order: int, most_words: int = 40
         if len(words) > most_words:
             yield of_words()
             words.clear()
-        yield of_grams(*counter.add(grams(documents, order)[0]))
+        if (left := counter.add(grams(documents, order)[0])) is not None:
+            yield of_grams(*left)
     yield of_words()
     yield of_grams(*counter.rest())
 
@@ -196,7 +223,7 @@ def _scored(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch
     """Each text's code length, its share of the baseline from frequent words, and its other words."""
     head, trie = model()
     look, first, n = head.__getitem__, TaskContext.get().partitionId() << 33, 0
-    for batch in slices(batches, 8 << 20):
+    for batch in slices(batches, BATCH):
         documents = [lower_words(x) for x in texts(batch)]
         tails, known, base = [], [], []
         for w in documents:
@@ -230,7 +257,7 @@ def _loader(sent, name: str, order: int):
         if name not in _MODELS:
             _MODELS.clear()
             words, values, level, keys, counts = sent.value
-            _MODELS[name] = _Head(zip(words, values)), Trie(order, level, keys, counts)
+            _MODELS[name] = _Head(zip(words.split(b" ") if words else [], values.tolist())), Trie(order, level, keys, counts)
         return _MODELS[name]
 
     return load
@@ -276,11 +303,13 @@ def score(docs: DataFrame, training=None, order: int = ORDER, most_nodes: int =
         if room < 0:
             least = int(np.floor(2 ** ((r["size"] + 1) / 16) - 1e-9)) + 1
             break
-    kept = nodes.where(F.col("n") >= least).select("level", "gram", "n").toPandas()
-    frequent = words.where(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(head_words).toPandas()
+    kept = nodes.where(F.col("n") >= least).select("level", "gram", "n").toArrow()
+    frequent = words.where(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(head_words).toArrow()
     scale = np.log10(total + 0.1 * (kinds + 1))
-    values = np.log10(frequent["n"].to_numpy(np.float64) + 0.1) - scale
-    sent = spark.sparkContext.broadcast(([bytes(w) for w in frequent["word"]], values.tolist(), kept["level"].to_numpy(np.int8), kept["gram"].to_numpy(np.int64).view(np.uint64), kept["n"].to_numpy(np.int64)))
+    values = np.log10(frequent.column("n").to_numpy().astype(np.float64) + 0.1) - scale
+    level, keys, seen = (kept.column(c).to_numpy() for c in ("level", "gram", "n"))
+    sent = spark.sparkContext.broadcast((b" ".join(frequent.column("word").to_pylist()), values, level.astype(np.int8), keys.astype(np.int64).view(np.uint64), seen.astype(np.int64)))
+    del kept, frequent
     load = _loader(sent, base, order)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema if f.name != "text"]
     out = ", ".join([*fields, "row long, n_tokens long, head_known long, head_score double, score double, tail array<binary>"])
