@@ -12,12 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmark.llm.common import settle, ship, slices, texts
+from quillmark.llm.common import only, settle, ship, slices, texts
 from quillmark.llm.labelled import fit_logistic, sigmoid, training_sample
 
 WORD = re.compile(r"[^\W\d_]+")
 SHORTEST, LONGEST = 3, 8  # of the stems that stand for words not learned
 END = "$"
+CUT = 0.3  # the score from which a text counts as toxic
+# Candidates for what a token costs and the least log-odds that count; the third fold decides.
+SETTINGS = ((0.5, 0.05), (0.5, 0.2), (1.5, 0.05), (1.5, 0.1), (1.5, 0.2), (2.0, 0.05), (2.0, 0.1), (2.5, 0.1), (3.0, 0.1))
 
 
 
@@ -88,7 +91,7 @@ def _tokens(text: bytes) -> list[str]:
 
 
 def _scan(model: ToxicityModel, known: dict[str, float], words: list[str]) -> list[tuple[int, int, float]]:
-    if len(known) > 500_000:
+    if len(known) > 300_000:
         known.clear()
     for w in set(words).difference(known):
         known[w] = model.token(w)
@@ -148,24 +151,41 @@ def extreme_value_fit(best: np.ndarray, lengths: np.ndarray) -> tuple[float, flo
     return float(decay), float(rate)
 
 
-def _scanned(model: ToxicityModel):
+def _scanned(candidates: list[ToxicityModel]):
+    """Of each document the segments' scores under each candidate."""
+
     def run(batches):
-        known: dict[str, float] = {}
+        only({})
+        known: list[dict[str, float]] = [{} for _ in candidates]
         for batch in slices(batches):
             rows = []
             for i, text, y in zip(batch.column(0).to_pylist(), texts(batch), batch.column(batch.schema.get_field_index("y")).to_pylist()):
                 words = _tokens(text)
-                rows.append({"doc_id": i, "y": y, "n": len(words), "scores": [s for _, _, s in _scan(model, known, words)]})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("n", pa.int64()), ("scores", pa.list_(pa.float64()))]))
+                rows.append({"doc_id": i, "y": y, "n": len(words), "scores": [[s for _, _, s in _scan(m, k, words)] for m, k in zip(candidates, known)]})
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("n", pa.int64()), ("scores", pa.list_(pa.list_(pa.float64())))]))
 
     return run
 
 
+def _calibrated(model: ToxicityModel, scores: list[list[float]], n: list[int], y: np.ndarray) -> tuple[ToxicityModel, tuple[int, float]]:
+    """The model with its extreme-value law, from the clean texts, and its line; and how many texts the line puts wrong at
+    ``CUT``, with its mean log loss."""
+    quiet = y == 0
+    decay, rate = extreme_value_fit(np.array([max([0.0, *s]) for s, q in zip(scores, quiet) if q]), np.array(n)[quiet])
+    model = ToxicityModel(model.odds, model.price, decay, rate)
+    x = np.array([(1.0, *np.log1p(model.evidence([(0, 0, v) for v in s], k))) for s, k in zip(scores, n)])
+    w = fit_logistic(x, y, ridge=1e-5)
+    p = np.clip(sigmoid(x @ w), 1e-9, 1 - 1e-9)
+    return ToxicityModel(model.odds, model.price, decay, rate, tuple(float(v) for v in w)), (int(((p >= CUT) != y).sum()), float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()))
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 30_000, most_stems: int = 200_000) -> ToxicityModel:
     """A model from about ``most`` labelled documents outside the held-out fold.
 
-    Two of the three training folds give the log-odds, the third the extreme-value law (from its clean documents) and
-    the final line, so neither is fitted to texts whose words were learned. At most ``most_stems`` stems, those with
+    Two of the three training folds give the log-odds. The third gives the extreme-value law (from its clean documents)
+    and the final line for each of SETTINGS, and the setting with the fewest texts on the wrong side
+    of ``CUT``, so none of them is fitted to texts
+    whose words were learned. At most ``most_stems`` stems, those with
     the strongest deviation, come to the driver. Without labels of both kinds every score is the labels' share.
     """
     ship(docs.sparkSession)
@@ -180,19 +200,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     share = toxic / (toxic + clean)
     z = F.abs(F.col("toxic") - (F.col("toxic") + F.col("clean")) * share) / F.sqrt((F.col("toxic") + F.col("clean")) * (share * (1 - share)))
     found = learn.where(z >= 3.5).orderBy(z.desc(), "stem").limit(most_stems).collect()
-    model = ToxicityModel(odds=log_odds([(r.stem, r.toxic, r.clean) for r in found], toxic, clean))
-    seen = rows.where("fold = 3").select("doc_id", "text", "y").mapInArrow(_scanned(model), "doc_id long, y int, n long, scores array<double>").collect()
+    odds = log_odds([(r.stem, r.toxic, r.clean) for r in found], toxic, clean)
+    candidates = [ToxicityModel({k: v for k, v in odds.items() if v >= least}, price) for least, price in SETTINGS]
+    seen = rows.where("fold = 3").select("doc_id", "text", "y").mapInArrow(_scanned(candidates), "doc_id long, y int, n long, scores array<array<double>>").collect()
     seen.sort(key=lambda r: (r.doc_id, r.y, r.n))
-    quiet = [r for r in seen if not r.y]
-    decay, rate = extreme_value_fit(np.array([max([0.0, *r.scores]) for r in quiet]), np.array([r.n for r in quiet]))
-    model = ToxicityModel(model.odds, model.price, decay, rate)
-    evidence = np.array([model.evidence([(0, 0, s) for s in r.scores], r.n) for r in seen]).reshape(-1, 2)
     y = np.array([r.y for r in seen], np.float64)
     if not len(y) or y.min() == y.max():
-        return ToxicityModel(model.odds, model.price, decay, rate, (float(np.log(share / (1 - share))), 0.0, 2.0))
-    x = np.column_stack([np.ones(len(y)), np.log1p(evidence[:, 0]), np.log1p(evidence[:, 1])])
-    w = fit_logistic(x, y, ridge=1e-3)
-    return ToxicityModel(model.odds, model.price, decay, rate, tuple(float(v) for v in w))
+        m = candidates[SETTINGS.index((2.0, 0.1))]
+        return ToxicityModel(m.odds, m.price, line=(float(np.log(share / (1 - share))), 0.0, 2.0))
+    fitted = [_calibrated(m, [r.scores[k] for r in seen], [r.n for r in seen], y) for k, m in enumerate(candidates)]
+    return min(fitted, key=lambda x: x[1])[0]
 
 
 def score(docs: DataFrame, model: ToxicityModel, name: str = "score", passages: str = "passages") -> DataFrame:
@@ -208,6 +225,7 @@ def score(docs: DataFrame, model: ToxicityModel, name: str = "score", passages:
     kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("weight", pa.float64())]))
 
     def run(batches):
+        only({})
         known: dict[str, float] = {}
         m = sent.value
         for batch in slices(batches):
