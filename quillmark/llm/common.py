@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -76,6 +77,27 @@ def crc32_of_id(doc_id: int) -> int:
     return zlib.crc32(str(doc_id).encode())
 
 
+_KEPT: list[dict] = []
+
+
+def kept(cache: dict) -> dict:
+    """Note a module's cache, which a worker keeps between tasks."""
+    _KEPT.append(cache)
+    return cache
+
+
+def only(cache: dict) -> None:
+    """Empty the caches of all other operators: a worker that goes from one to the next holds one cache at a time."""
+    others = [x for x in _KEPT if x is not cache and x]
+    for x in others:
+        x.clear()
+    if others:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library may give freed memory back
+        if trim is not None:
+            trim(0)
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """UTF-8 bytes of each text; null is empty."""
     values = batch.column(batch.schema.get_field_index(column))
@@ -107,7 +129,7 @@ def in_pieces(table: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({f.name: pa.array(table[f.name], f.type) for f in schema}, schema=schema)
 
 
-def slices(batches: Iterator[pa.RecordBatch], limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most about ``limit`` bytes, one row at least."""
     for batch in batches:
         if batch.num_rows <= 1 or batch.nbytes <= limit:

@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmark.llm.common import ASCII_LOWER, settle, ship, slices, texts
+from quillmark.llm.common import ASCII_LOWER, kept, only, settle, ship, slices, texts
 from quillmark.llm.perfect_hash import LineIndex
 
 BLANK = b" \t\n\x0b\x0c\r"
 NO_ID = -(2**63)
-_LOADED: dict[str, list[LineIndex]] = {}
+_LOADED: dict[str, dict[int, LineIndex]] = kept({})
 
 
 def _digest(line: bytes, min_chars: int) -> bytes | None:
@@ -121,6 +121,7 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, b
     plain, schema = _with_counts(docs)
 
     def clean(batches):
+        only(_LOADED)
         if name not in _LOADED:
             _LOADED.clear()
             _LOADED[name] = {k: LineIndex.loads(x) for k, x in sent.value}

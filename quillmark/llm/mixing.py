@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmark.llm.common import lower_words, ship, slices, texts
+from quillmark.llm.common import lower_words, only, ship, slices, texts
 
 OTHER = "(other)"
 NONE = "(none)"
@@ -24,7 +24,7 @@ def _topic(words: list[bytes], known: dict[bytes, int], topics: int) -> int:
     long = {w for w in words if len(w) >= TOPIC_WORD}
     if not long:
         return 0
-    if len(known) > 500_000:
+    if len(known) > 300_000:
         known.clear()
     for w in long.difference(known):
         known[w] = zlib.crc32(w) % topics
@@ -41,6 +41,7 @@ def measured(docs: DataFrame, tokens: str = "n_tokens", topic: str = "topic", to
     plain = docs.drop(tokens, topic)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only({})
         known: dict[bytes, int] = {}
         for batch in slices(batches):
             words = [lower_words(x) for x in texts(batch)]

@@ -10,14 +10,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import components, lower_words, mix64, scratch, ship, slices, texts
+from quillmark.llm.common import components, kept, lower_words, mix64, only, scratch, ship, slices, texts
 
 WORDS = 5  # of a shingle
 CHUNKS, WIDTH = 8, 4  # the signature's 32 symbols of 16 bits; a chunk may have one error
 SYMBOLS = CHUNKS * WIDTH
 FINE = 512  # symbols of 8 bits of the second signature
 BLOCK = 512
-_WORDS: dict[bytes, int] = {}
+_WORDS: dict[bytes, int] = kept({})
 _POWERS = mix64(np.arange(1, WORDS + 2, dtype=np.uint64)) | np.uint64(1)
 _TURNS = (mix64(np.arange(100, 100 + FINE, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _FLIPS = (mix64(np.arange(9000, 9000 + FINE, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -29,7 +29,7 @@ def shingles(words: list[bytes], size: int = WORDS) -> np.ndarray:
         return np.zeros(0, np.uint64)
     new = set(words).difference(_WORDS)
     if new:
-        if len(_WORDS) > 600_000:
+        if len(_WORDS) > 300_000:
             _WORDS.clear()
             new = set(words)
         _WORDS.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
@@ -90,6 +90,7 @@ def least_agreement(similarity: float, symbols: int = FINE, deviations: float =
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    only(_WORDS)
     for batch in slices(batches):
         n, digests, signatures = [], [], []
         for text in texts(batch):
@@ -109,6 +110,7 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _detailed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the classes' first documents: both signatures and the whole set."""
+    only(_WORDS)
     for batch in slices(batches):
         rows = []
         for i, digest, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), texts(batch)):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmark.llm.common import ship, slices, texts
+from quillmark.llm.common import only, ship, slices, texts
 from quillmark.llm.labelled import fit_logistic, sigmoid, training_sample
 
 # Classes of bytes: 0 other, 1 lower case, 2 upper case, 3 digit, 4 white space, 5 sentence mark, 6 other mark, 7 beyond ASCII.
@@ -126,6 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    only({})
     for batch in slices(batches):
         rows = [features(x) for x in texts(batch)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "y", "x"])
@@ -141,6 +142,7 @@ def score(docs: DataFrame, model: RankingModel, name: str = "score") -> DataFram
     plain = docs.drop(name)
 
     def run(batches):
+        only({})
         for batch in slices(batches):
             x = np.array([features(t) for t in texts(batch)]).reshape(-1, len(FEATURES))
             columns = {f: batch.column(k) for k, f in enumerate(batch.schema.names)}

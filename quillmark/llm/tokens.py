@@ -7,8 +7,10 @@ import string
 
 import numpy as np
 
+from quillmark.llm.common import kept, only
+
 END_ID = 2
-_ENCODERS: dict[str, "WordEncoder"] = {}
+_ENCODERS: dict[str, "WordEncoder"] = kept({})
 
 
 def default_tokenizer() -> str:
@@ -81,6 +83,7 @@ class WordEncoder:
 
 def encoder(path: str) -> WordEncoder:
     """This worker's encoder for the file; kept between tasks."""
+    only(_ENCODERS)
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
