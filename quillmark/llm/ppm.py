@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import lower_words, scratch, ship, slices, texts
+from quillmark.llm.common import kept, lower_words, only, scratch, ship, slices, texts
 
 ORDER = 5
 END = b"\n"
@@ -195,6 +195,7 @@ COUNTED = pa.schema([("word", pa.binary()), ("gram", pa.int64()), ("n", pa.int64
 
 def _counted(batches: Iterator[pa.RecordBatch], order: int, most_words: int = 200_000) -> Iterator[pa.RecordBatch]:
     """Counts of words and of grams of ``order`` + 1 bytes in this partition, in parts."""
+    only({})
     words: Counter[bytes] = Counter()
     counter = GramCounter()
 
@@ -237,9 +238,9 @@ def _scored(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch
             "row": pa.array(range(first + n, first + n + len(documents)), pa.int64()), "n_tokens": pa.array([len(w) + 1 for w in documents], pa.int64()), "head_known": pa.array(known, pa.int64()),
             "head_score": pa.array(base, pa.float64()), "score": pa.array(trie.score(documents)), "tail": pa.array(tails, pa.list_(pa.binary())),
         }
-        kept = {f: batch.column(k) for k, f in enumerate(batch.schema.names) if f != "text"}
+        others = {f: batch.column(k) for k, f in enumerate(batch.schema.names) if f != "text"}
         n += len(documents)
-        yield pa.RecordBatch.from_pydict(kept | columns)
+        yield pa.RecordBatch.from_pydict(others | columns)
 
 
 class _Head(dict):
@@ -247,13 +248,14 @@ class _Head(dict):
         return float("nan")
 
 
-_MODELS: dict[str, tuple[_Head, Trie]] = {}
+_MODELS: dict[str, tuple[_Head, Trie]] = kept({})
 
 
 def _loader(sent, name: str, order: int):
     """The model of a broadcast, built once for each worker."""
 
     def load() -> tuple[_Head, Trie]:
+        only(_MODELS)
         if name not in _MODELS:
             _MODELS.clear()
             words, values, level, keys, counts = sent.value
@@ -263,14 +265,24 @@ def _loader(sent, name: str, order: int):
     return load
 
 
+def least_count(rows: DataFrame, most: int) -> int:
+    """A count that at most ``most`` rows reach, from a histogram of sixteen ranges to each doubling of ``n``."""
+    room = most
+    for r in sorted(rows.groupBy(F.floor(F.log2("n") * 16).alias("size")).count().collect(), key=lambda r: -r["size"]):
+        room -= r["count"]
+        if room < 0:
+            return int(np.floor(2 ** ((r["size"] + 1) / 16) - 1e-9)) + 1
+    return 1
+
+
 def score(docs: DataFrame, training=None, order: int = ORDER, most_nodes: int = 2_000_000, head_words: int = 200_000) -> DataFrame:
     """``docs`` without ``text``, with ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``, all of whole texts.
 
     Tokens are words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, then one end. ``training`` is a condition on rows;
     all rows that meet it are counted (all rows, if it is None): every word, and every byte with its ``order`` bytes before.
 
-    ``base_score`` is the sum over tokens of log10((c + 0.1) / (N + 0.1 (V + 1))). Counts of the ``head_words`` most
-    frequent words (of at most 64 bytes) are sent to the executors; all other words meet their counts in a join.
+    ``base_score`` is the sum over tokens of log10((c + 0.1) / (N + 0.1 (V + 1))). Counts of the most frequent words,
+    ``head_words`` at most (of at most 64 bytes each), are sent to the executors; all other words meet their counts in a join.
 
     ``score`` is log10 of the trie's chance of the text's words with single spaces and an end: the trie keeps the most
     frequent ``most_nodes`` pairs of a context and a byte, by one least count, and what it leaves out stays in the
@@ -297,19 +309,14 @@ def score(docs: DataFrame, training=None, order: int = ORDER, most_nodes: int =
         nodes = own if nodes is None else nodes.unionByName(own)
     nodes.write.option("compression", "zstd").parquet(f"{base}/nodes")
     nodes = spark.read.parquet(f"{base}/nodes")
-    least, room = 1, most_nodes
-    for r in sorted(nodes.groupBy(F.floor(F.log2("n") * 16).alias("size")).count().collect(), key=lambda r: -r["size"]):
-        room -= r["count"]
-        if room < 0:
-            least = int(np.floor(2 ** ((r["size"] + 1) / 16) - 1e-9)) + 1
-            break
-    kept = nodes.where(F.col("n") >= least).select("level", "gram", "n").toArrow()
-    frequent = words.where(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(head_words).toArrow()
+    nodes_kept = nodes.where(F.col("n") >= least_count(nodes, most_nodes)).select("level", "gram", "n").toArrow()
+    short = words.where(F.length("word") <= 64)
+    frequent = short.where(F.col("n") >= least_count(short, head_words)).toArrow()
     scale = np.log10(total + 0.1 * (kinds + 1))
     values = np.log10(frequent.column("n").to_numpy().astype(np.float64) + 0.1) - scale
-    level, keys, seen = (kept.column(c).to_numpy() for c in ("level", "gram", "n"))
+    level, keys, seen = (nodes_kept.column(c).to_numpy() for c in ("level", "gram", "n"))
     sent = spark.sparkContext.broadcast((b" ".join(frequent.column("word").to_pylist()), values, level.astype(np.int8), keys.astype(np.int64).view(np.uint64), seen.astype(np.int64)))
-    del kept, frequent
+    del nodes_kept, frequent
     load = _loader(sent, base, order)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema if f.name != "text"]
     out = ", ".join([*fields, "row long, n_tokens long, head_known long, head_score double, score double, tail array<binary>"])
