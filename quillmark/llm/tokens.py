@@ -10,6 +10,7 @@ import numpy as np
 from quillmark.llm.common import kept, only
 
 END_ID = 2
+AT_ONCE = 20_000  # words in one call
 _ENCODERS: dict[str, "WordEncoder"] = kept({})
 
 
@@ -23,11 +24,11 @@ class WordEncoder:
     """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False)`` for tokenizers that drop white space.
 
     Such a tokenizer never joins across ASCII white space, so a text's ids are those of its chunks in turn. A chunk of
-    letters with ASCII punctuation behind is two such parts again. Unseen letter chunks go to the library in one call,
+    letters with ASCII punctuation behind is two such parts again. Unseen letter chunks go to the library many at a time,
     and the ids are cut after each end-of-word id; if the cuts don't match the chunks, each is encoded alone.
     """
 
-    def __init__(self, path: str, most: int = 600_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 400_000, longest: int = 64):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -54,7 +55,8 @@ class WordEncoder:
             else:
                 rest[c] = self.alone(s)
         plain = [x for x in plain if x.encode() not in known]
-        ids = np.array(self.library.encode(" ".join(plain), add_special_tokens=False).ids, "<u4") if plain else np.zeros(0, "<u4")
+        joined = (" ".join(plain[i : i + AT_ONCE]) for i in range(0, len(plain), AT_ONCE))
+        ids = np.concatenate([np.zeros(0, "<u4"), *(np.array(x.ids, "<u4") for j in joined for x in self.library.encode_batch_fast([j], add_special_tokens=False))])
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) == len(plain) and (not plain or cuts[-1] == len(ids)):
             raw, at = ids.tobytes(), 0
