@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillmark.llm.common import kept, lower_words, only, scratch, ship, slices, texts
 
@@ -96,7 +97,53 @@ class GramCounter:
         return np.concatenate([self.keys[full], keys]), np.concatenate([self.counts[full], counts])
 
 
-class Trie:
+class Slotted:
+    """Answers of ``walk`` kept by slot; what walk answers with NaN is asked again."""
+
+    def __init__(self):
+        self.cached = np.zeros(SLOTS, np.uint64), np.full(SLOTS, np.nan)
+
+    def walk(self, x: np.ndarray) -> np.ndarray:
+        raise NotImplementedError
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        """As ``walk``, with answers kept by slot."""
+        keys, values = self.cached
+        at = slot(x, SLOTS)
+        out = values[at]
+        new = (keys[at] != x) | np.isnan(out)
+        if new.any():
+            distinct, back = np.unique(x[new], return_inverse=True)
+            found = self.walk(distinct)
+            out[new] = found[back]
+            at = slot(distinct, SLOTS)
+            keys[at], values[at] = distinct, found  # of several for one slot the last pair stays
+        return out
+
+
+class Known(Slotted):
+    """The answers for some numbers, and NaN for all others."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        super().__init__()
+        o = np.argsort(keys)
+        self.keys, self.values = keys[o], values[o]
+
+    def walk(self, x: np.ndarray) -> np.ndarray:
+        at, found = _find(self.keys, x)
+        out = np.full(len(x), np.nan)
+        out[found] = self.values[at[found]]
+        return out
+
+
+def _find(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(table):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(table, x), len(table) - 1)
+    return at, table[at] == x
+
+
+class Trie(Slotted):
     """Contexts of 0 to ``order`` bytes with the symbols kept after each; its answers are those of the walk from the
     longest known context down. A symbol that came c of n times has (c - 1/2) / n, and the escape has the rest: half a
     count for each kept symbol, and the counts of symbols that were not kept. Below, the symbols of the longer context
@@ -105,6 +152,7 @@ class Trie:
     def __init__(self, order: int, level: np.ndarray, keys: np.ndarray, counts: np.ndarray):
         """level[i], keys[i], counts[i]: a context of level[i] bytes with a byte behind it, and how often it came. With a
         symbol after a context, the symbol after every shorter one must be there."""
+        super().__init__()
         self.order, self.grams, self.counts, self.contexts = order, [], [], []
         self.total, self.escape, self.rest_total, self.rest_escape = [], [], [], []
         for j in range(order + 1):
@@ -119,7 +167,7 @@ class Trie:
             self.rest_total.append(np.zeros(len(context)))
             self.rest_escape.append(np.zeros(len(context)))
             if j and len(k):
-                at, known = self._find(self.grams[j - 1], context)
+                at, known = _find(self.grams[j - 1], context)
                 total[known] = np.maximum(total[known], self.counts[j - 1][at[known]])  # with what was not kept
                 shared = np.add.reduceat(self.counts[j - 1][np.searchsorted(self.grams[j - 1], k & _mask(j))], first)
                 up = np.searchsorted(self.contexts[j - 1], context & _mask(j - 1))
@@ -130,14 +178,6 @@ class Trie:
             self.contexts.append(context)
             self.total.append(total)
             self.escape.append(total - kept + 0.5 * kinds)
-        self.cached = np.zeros(SLOTS, np.uint64), np.full(SLOTS, np.nan)
-
-    @staticmethod
-    def _find(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(table):
-            return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
-        at = np.minimum(np.searchsorted(table, x), len(table) - 1)
-        return at, table[at] == x
 
     def walk(self, x: np.ndarray) -> np.ndarray:
         """log10 of the chance of the last byte of each number after the bytes before it."""
@@ -148,8 +188,8 @@ class Trie:
             if not len(left):
                 break
             gram = x[left] & _mask(j + 1)
-            context, known = self._find(self.contexts[j], gram >> np.uint64(8))
-            at, seen = self._find(self.grams[j], gram)
+            context, known = _find(self.contexts[j], gram >> np.uint64(8))
+            at, seen = _find(self.grams[j], gram)
             came = longer[left] >= 0
             total, escape = np.zeros(len(left)), np.zeros(len(left))
             fresh = known & ~came
@@ -168,20 +208,6 @@ class Trie:
             out[left] -= np.log10(max(1.0, unseen))
         return out
 
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        """As ``walk``, with answers kept by slot."""
-        keys, values = self.cached
-        at = slot(x, SLOTS)
-        out = values[at]
-        new = (keys[at] != x) | np.isnan(out)
-        if new.any():
-            distinct, back = np.unique(x[new], return_inverse=True)
-            found = self.walk(distinct)
-            out[new] = found[back]
-            at = slot(distinct, SLOTS)
-            keys[at], values[at] = distinct, found  # of several for one slot the last pair stays
-        return out
-
     def score(self, documents: list[list[bytes]]) -> np.ndarray:
         """log10 of the chance of each document's normal form."""
         if not documents:
@@ -220,9 +246,10 @@ def _counted(batches: Iterator[pa.RecordBatch], order: int, most_words: int = 20
     yield of_grams(*counter.rest())
 
 
-def _scored(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    """Each text's code length, its share of the baseline from frequent words, and its other words."""
-    head, trie = model()
+def _scored(batches: Iterator[pa.RecordBatch], model, order: int) -> Iterator[pa.RecordBatch]:
+    """Each text's code length from the bytes that the model answers, and its other bytes with those before them; its share
+    of the baseline from frequent words, and its other words."""
+    head, bytewise = model()
     look, first, n = head.__getitem__, TaskContext.get().partitionId() << 33, 0
     for batch in slices(batches, BATCH):
         documents = [lower_words(x) for x in texts(batch)]
@@ -234,9 +261,14 @@ def _scored(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch
             tails.append([w[i] for i in np.flatnonzero(other).tolist()])
             known.append(len(w) - len(tails[-1]))
             base.append(float(v[~other].sum()))
+        x, ends = grams(documents, order)
+        logs = bytewise.predict(x)
+        unmet, starts = np.isnan(logs), np.concatenate(([0], ends[:-1]))
+        offsets = np.concatenate(([0], np.cumsum(np.add.reduceat(unmet.astype(np.int64), starts))))
+        rest = pa.LargeListArray.from_arrays(offsets, pa.array(x[unmet].view(np.int64))).cast(pa.list_(pa.int64()))
         columns = {
             "row": pa.array(range(first + n, first + n + len(documents)), pa.int64()), "n_tokens": pa.array([len(w) + 1 for w in documents], pa.int64()), "head_known": pa.array(known, pa.int64()),
-            "head_score": pa.array(base, pa.float64()), "score": pa.array(trie.score(documents)), "tail": pa.array(tails, pa.list_(pa.binary())),
+            "head_score": pa.array(base, pa.float64()), "head_log": pa.array(np.add.reduceat(np.where(unmet, 0.0, logs), starts)), "tail": pa.array(tails, pa.list_(pa.binary())), "rest": rest,
         }
         others = {f: batch.column(k) for k, f in enumerate(batch.schema.names) if f != "text"}
         n += len(documents)
@@ -248,18 +280,18 @@ class _Head(dict):
         return float("nan")
 
 
-_MODELS: dict[str, tuple[_Head, Trie]] = kept({})
+_MODELS: dict[str, tuple[_Head, Slotted]] = kept({})
 
 
 def _loader(sent, name: str, order: int):
     """The model of a broadcast, built once for each worker."""
 
-    def load() -> tuple[_Head, Trie]:
+    def load() -> tuple[_Head, Slotted]:
         only(_MODELS)
         if name not in _MODELS:
             _MODELS.clear()
-            words, values, level, keys, counts = sent.value
-            _MODELS[name] = _Head(zip(words.split(b" ") if words else [], values.tolist())), Trie(order, level, keys, counts)
+            words, values, *held = sent.value
+            _MODELS[name] = _Head(zip(words.split(b" ") if words else [], values.tolist())), Trie(order, *held) if len(held) == 3 else Known(*held)
         return _MODELS[name]
 
     return load
@@ -275,6 +307,55 @@ def least_count(rows: DataFrame, most: int) -> int:
     return 1
 
 
+def _suffix(gram: str, size: str):
+    """The last ``size`` bytes of a number of bytes."""
+    return F.expr(f"CASE WHEN {size} >= 8 THEN {gram} ELSE {gram} & (shiftleft(1L, 8 * ({size})) - 1) END")
+
+
+def contexts(nodes: DataFrame) -> DataFrame:
+    """Of the pairs ``(level, gram, n)`` of a whole trie each context: ``total`` and ``kinds`` of what came after it, and
+    ``rest_total`` and ``rest_kinds``, those of the context shorter by a byte without the symbols that came after this one.
+
+    No key of these joins and groups has more than 256 rows, one for each byte.
+    """
+    shorter = nodes.select((F.col("level") + 1).alias("level"), F.col("gram").alias("suffix"), F.col("n").alias("shared"))
+    each = nodes.withColumn("suffix", _suffix("gram", "level")).join(shorter, ["level", "suffix"], "left")
+    each = each.groupBy("level", F.shiftrightunsigned("gram", 8).alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum("shared").alias("shared"))
+    up = each.select((F.col("level") + 1).alias("level"), F.col("context").alias("suffix"), F.col("total").alias("up_total"), F.col("kinds").alias("up_kinds"))
+    joined = each.withColumn("suffix", F.when(F.col("level") > 0, _suffix("context", "level - 1"))).join(up, ["level", "suffix"], "left")
+    return joined.select("level", "context", "total", "kinds", (F.col("up_total") - F.col("shared")).alias("rest_total"), (F.col("up_kinds") - F.col("kinds")).alias("rest_kinds"))
+
+
+def _met(asked: DataFrame, table: DataFrame, key: str, low: int) -> DataFrame:
+    """Rows with what the table has for their level and key: up to level ``low`` the table is sent out, as it is bounded there
+    by the alphabet and its keys have very many rows, and above both sides meet in a join."""
+    near, far = F.col("level") <= low, F.col("level") > low
+    sent = asked.where(near).join(F.broadcast(table.where(near)), ["level", key], "left")
+    return sent.unionByName(asked.where(far).join(table.where(far), ["level", key], "left"))
+
+
+def walked(asked: DataFrame, nodes: DataFrame, held: DataFrame, order: int) -> DataFrame:
+    """``(gram, value)`` of distinct grams: what ``Trie.walk`` gives with all ``nodes``, whose ``contexts`` are ``held``.
+
+    The known contexts and the contexts after which the symbol came are each those up to a length. From the longest known
+    one, each without the symbol escapes to the next, where the symbols of the longer one are excluded.
+    """
+    rows = asked.select("gram", F.explode(F.sequence(F.lit(0), F.lit(order))).alias("level")).withColumn("own", _suffix("gram", "level + 1"))
+    rows = _met(rows, nodes.withColumnRenamed("gram", "own"), "own", 1).withColumn("context", F.shiftrightunsigned("own", 8))
+    rows = _met(rows, held, "context", 2)
+    passed = F.col("total").isNotNull() & F.col("n").isNull()
+    open_ = passed & (F.col("rest_total") > 0)
+    escape = F.when(open_, F.log10(0.5 * F.col("rest_kinds"))).otherwise(0.0)
+    of = rows.groupBy("gram").agg(
+        F.max(F.when(F.col("n").isNotNull(), F.col("level"))).alias("seen"), F.max(F.when(F.col("total").isNotNull(), F.col("level"))).alias("known"),
+        F.min("n").alias("n"), F.min("total").alias("total"), F.min("kinds").alias("kinds"), F.max("kinds").alias("symbols"),
+        F.sum(F.when(open_, escape - F.log10("rest_total")).otherwise(0.0)).alias("escapes"), F.min(F.when(passed, F.struct("level", escape.alias("log")))).alias("last"),
+    )
+    first = F.when(F.col("known").isNull(), 0.0).otherwise(F.when(F.col("seen").eqNullSafe(F.col("known")), 0.0).otherwise(F.log10(0.5 * F.col("kinds"))) - F.log10("total"))
+    found = F.when(F.col("seen").isNotNull(), F.log10(F.col("n") - 0.5)).otherwise(-F.log10(F.greatest(F.lit(1), ALPHABET - F.coalesce("symbols", F.lit(0)))))
+    return of.select("gram", (first + F.col("escapes") - F.coalesce("last.log", F.lit(0.0)) + found).alias("value"))
+
+
 def score(docs: DataFrame, training=None, order: int = ORDER, most_nodes: int = 2_000_000, head_words: int = 200_000) -> DataFrame:
     """``docs`` without ``text``, with ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``, all of whole texts.
 
@@ -284,9 +365,10 @@ def score(docs: DataFrame, training=None, order: int = ORDER, most_nodes: int =
     ``base_score`` is the sum over tokens of log10((c + 0.1) / (N + 0.1 (V + 1))). Counts of the most frequent words,
     ``head_words`` at most (of at most 64 bytes each), are sent to the executors; all other words meet their counts in a join.
 
-    ``score`` is log10 of the trie's chance of the text's words with single spaces and an end: the trie keeps the most
-    frequent ``most_nodes`` pairs of a context and a byte, by one least count, and what it leaves out stays in the
-    escapes, so chances sum to 1 at every size. Both bounds are capacities of the model, not of what is counted.
+    ``score`` is log10 of the trie's chance of the text's words with single spaces and an end. The trie has every counted
+    pair of a context and a byte, whatever their number. Up to ``most_nodes`` of them it is sent to the executors; beyond,
+    only the chances of the most frequent pairs of the longest contexts, ``most_nodes`` at most, are, and the text's other
+    pairs meet the whole trie in joins (``walked``). Both bounds say what is sent, and change no result.
 
     A null or empty text has one token, the end. Repeated rows count, and are scored, each. A null doc_id's row trains.
     Columns of the result's names, or named ``row``, are replaced. Without training rows N and V are 0 and every byte is
@@ -295,7 +377,7 @@ def score(docs: DataFrame, training=None, order: int = ORDER, most_nodes: int =
     spark = docs.sparkSession
     ship(spark)
     base = scratch(spark, "ppm")
-    plain = docs.drop("row", "n_tokens", "n_known", "head_known", "head_score", "train_tokens", "base_score", "score", "tail")
+    plain = docs.drop("row", "n_tokens", "n_known", "head_known", "head_score", "head_log", "train_tokens", "base_score", "score", "tail", "rest")
     learned = plain.where(training) if training is not None else plain
     counted = learned.select("text").mapInArrow(lambda b: _counted(b, order), "word binary, gram long, n long")
     counted.groupBy("word", "gram").agg(F.sum("n").alias("n")).write.option("compression", "zstd").parquet(f"{base}/counts")
@@ -309,24 +391,44 @@ def score(docs: DataFrame, training=None, order: int = ORDER, most_nodes: int =
         nodes = own if nodes is None else nodes.unionByName(own)
     nodes.write.option("compression", "zstd").parquet(f"{base}/nodes")
     nodes = spark.read.parquet(f"{base}/nodes")
-    nodes_kept = nodes.where(F.col("n") >= least_count(nodes, most_nodes)).select("level", "gram", "n").toArrow()
+    whole = nodes.count() <= most_nodes
+    chance = F.log10((F.col("n") - 0.5) / F.sum("n").over(Window.partitionBy(F.shiftrightunsigned("gram", 8))))
+    pairs = nodes.where(F.col("level") == order).select("gram", "n", chance.alias("value"))
+    if whole:
+        every = nodes.select("level", "gram", "n").toArrow()
+        level, keys, seen = (every.column(c).to_numpy() for c in ("level", "gram", "n"))
+        del every
+        held = level.astype(np.int8), keys.astype(np.int64).view(np.uint64), seen.astype(np.int64)
+    else:
+        top = pairs.where(F.col("n") >= least_count(nodes.where(F.col("level") == order), most_nodes)).select("gram", "value").toArrow()
+        held = top.column("gram").to_numpy().astype(np.int64).view(np.uint64), top.column("value").to_numpy().astype(np.float64)
+        del top
     short = words.where(F.length("word") <= 64)
     frequent = short.where(F.col("n") >= least_count(short, head_words)).toArrow()
     scale = np.log10(total + 0.1 * (kinds + 1))
     values = np.log10(frequent.column("n").to_numpy().astype(np.float64) + 0.1) - scale
-    level, keys, seen = (nodes_kept.column(c).to_numpy() for c in ("level", "gram", "n"))
-    sent = spark.sparkContext.broadcast((b" ".join(frequent.column("word").to_pylist()), values, level.astype(np.int8), keys.astype(np.int64).view(np.uint64), seen.astype(np.int64)))
-    del nodes_kept, frequent
+    sent = spark.sparkContext.broadcast((b" ".join(frequent.column("word").to_pylist()), values, *held))
+    del held, frequent
     load = _loader(sent, base, order)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema if f.name != "text"]
-    out = ", ".join([*fields, "row long, n_tokens long, head_known long, head_score double, score double, tail array<binary>"])
-    plain.mapInArrow(lambda b: _scored(b, load), out).write.option("compression", "zstd").parquet(f"{base}/scored")
+    out = ", ".join([*fields, "row long, n_tokens long, head_known long, head_score double, head_log double, tail array<binary>, rest array<long>"])
+    plain.mapInArrow(lambda b: _scored(b, load, order), out).write.option("compression", "zstd").parquet(f"{base}/scored")
     scored = spark.read.parquet(f"{base}/scored")
     tail = scored.select("row", F.explode("tail").alias("word")).join(words, "word", "left")
     tail = tail.groupBy("row").agg(F.count("n").alias("tail_known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1)) - F.lit(float(scale))).alias("tail_score"))
-    joined = scored.drop("tail").join(tail, "row", "left")
+    joined = scored.drop("tail", "rest").join(tail, "row", "left")
+    score_ = F.col("head_log")
+    if not whole:
+        rest = scored.select("row", F.explode("rest").alias("gram"))
+        rest.select("gram").distinct().join(pairs.select("gram", "value"), "gram", "left").write.option("compression", "zstd").parquet(f"{base}/asked")
+        contexts(nodes).write.option("compression", "zstd").parquet(f"{base}/contexts")
+        asked = spark.read.parquet(f"{base}/asked")
+        found = asked.where("value IS NOT NULL").unionByName(walked(asked.where("value IS NULL").select("gram"), nodes, spark.read.parquet(f"{base}/contexts"), order))
+        rest = rest.join(found, "gram").groupBy("row").agg(F.sum("value").alias("rest_log"))
+        joined = joined.join(rest, "row", "left")
+        score_ = F.col("head_log") + F.coalesce("rest_log", F.lit(0.0))
     columns = [f for f in plain.columns if f != "text"]
     return joined.select(
         *columns, "n_tokens", (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("head_score") + F.coalesce("tail_score", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("head_score") + F.coalesce("tail_score", F.lit(0.0))).alias("base_score"), score_.alias("score"),
     )

@@ -141,6 +141,20 @@ def test_baseline_equals_brute_force(spark, head):
         assert (r.n_tokens, r.n_known, round(r.base_score, 6)) == wanted[r.doc_id] and r.train_tokens == total and r.score < 0
 
 
+@pytest.mark.parametrize("most", [10**9, 300, 20])
+def test_ppm_scores_by_every_counted_pair_however_few_are_sent(spark, most):
+    rows = [*corpus(), (4 * 10**6, "zzz qqq karana \u00e9\u00e8 kara", "en", "src0", 0, 1.0, False, -1)]
+    docs = frame(spark, rows).withColumn("held", F.coalesce(F.col("doc_id") % 4 == 0, F.lit(False)))
+    plain = Counter(ppm.grams([lowered(t) for i, t, *_ in rows if i is None or i % 4], 5)[0].tolist())
+    level, gram, n = (np.array(c) for c in zip(*[(j, g, c) for j in range(6) for g, c in summed_level(plain, j).items()]))
+    trie = ppm.Trie(5, level, gram.astype(np.uint64), n)
+    out = ppm.score(docs, ~F.col("held"), most_nodes=most).collect()
+    assert len(out) == len(rows) and len(gram) > 300
+    for r in out:
+        text = next(t for i, t, *_ in rows if i == r.doc_id)
+        assert r.score == pytest.approx(trie.score([lowered(text)])[0], rel=1e-9)
+
+
 def test_ppm_without_rows_or_training(spark):
     assert ppm.score(frame(spark, [])).collect() == []
     out = ppm.score(frame(spark), F.lit(False)).collect()
