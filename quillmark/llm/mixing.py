@@ -17,6 +17,7 @@ from quillmark.llm.common import lower_words, only, ship, slices, texts
 OTHER = "(other)"
 NONE = "(none)"
 TOPICS, TOPIC_WORD = 8, 6
+LEAST = 0.25
 
 
 def _topic(words: list[bytes], known: dict[bytes, int], topics: int) -> int:
@@ -65,22 +66,43 @@ def tempered(totals: dict[str, float], power: float) -> dict[str, float]:
     return {k: v / sum(raised.values()) for k, v in raised.items()}
 
 
+def within(target: np.ndarray, supply: np.ndarray) -> np.ndarray:
+    """Targets none of which is beyond its supply: what is goes to the others in proportion, as far as they can take it."""
+    out, total = target.copy(), target.sum()
+    for _ in range(len(target)):
+        full = out >= supply
+        out = np.where(full, supply, out)
+        room, missing = out[~full].sum(), total - out.sum()
+        if missing <= 1e-12 * total or room <= 0:
+            break
+        out[~full] *= 1 + missing / room
+    return np.minimum(out, supply)
+
+
 def rake(supply: np.ndarray, places: list[np.ndarray], targets: list[np.ndarray], budget: float, rounds: int = 500, close: float = 1e-9) -> np.ndarray:
-    """Weights of cells, between 0 and the cell's supply, whose margins meet the targets' shares of the budget.
+    """Weights of cells, between a least weight and the cell's supply, whose margins meet the targets' shares of the budget.
 
-    places[m][i] is cell i's category in margin m. Each round scales every margin in turn to its targets, no cell beyond
-    its supply; a category that cannot be met stays at its supply while the others go on.
+    places[m][i] is cell i's category in margin m. Targets beyond a category's supply go to the others of its margin. Each
+    round scales every margin in turn to its targets, no cell beyond its supply; a category that cannot be met stays at its
+    supply while the others go on. Where the margins contradict each other, that would drive cells to 0: a cell has at
+    least ``LEAST`` times its even share of the budget, lowered by each of its categories whose target is under theirs. So
+    only cells of a category without a target have no weight.
     """
-    w = supply * (budget / max(supply.sum(), 1e-300))
+    even = budget / max(supply.sum(), 1e-300)
+    w, floor, aims = supply * even, supply * even * LEAST, []
+    for at, share in zip(places, targets):
+        has = np.bincount(at, supply, minlength=len(share))
+        aims.append(within(share * budget, has))
+        floor = floor * np.minimum(1.0, aims[-1] / np.maximum(has * even, 1e-300))[at]
     for _ in range(rounds):
         before = w
-        for at, share in zip(places, targets):
-            have = np.bincount(at, w, minlength=len(share))
-            free = np.bincount(at, np.where(w < supply, w, 0.0), minlength=len(share))
+        for at, aim in zip(places, aims):
+            have = np.bincount(at, w, minlength=len(aim))
+            free = np.bincount(at, np.where(w < supply, w, 0.0), minlength=len(aim))
             full = have - free
-            factor = np.where(free > 0, np.maximum(share * budget - full, 0) / np.maximum(free, 1e-300), 1.0)
-            grown = np.where(w < supply, w * factor[at], np.where(have[at] > share[at] * budget, w * (share[at] * budget / np.maximum(have[at], 1e-300)), w))
-            w = np.minimum(grown, supply)
+            factor = np.where(free > 0, np.maximum(aim - full, 0) / np.maximum(free, 1e-300), 1.0)
+            grown = np.where(w < supply, w * factor[at], np.where(have[at] > aim[at], w * (aim[at] / np.maximum(have[at], 1e-300)), w))
+            w = np.minimum(np.maximum(grown, floor), supply)
         if np.abs(w - before).max() <= close * max(1.0, budget):
             break
     return w

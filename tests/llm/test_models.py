@@ -172,6 +172,20 @@ def test_rake_meets_margins_and_supply():
         assert np.bincount(at, w) / w.sum() == pytest.approx(share, abs=1e-3)
 
 
+@pytest.mark.parametrize("hot", [0, 5])
+def test_rake_lets_every_cell_be_drawn_where_one_source_has_a_third(hot):
+    sources, langs, topics = 20, 4, 8
+    rng = np.random.default_rng(7)
+    supply = np.einsum("i,j,k->ijk", np.ones(sources), [0.61, 0.15, 0.15, 0.09], [0.35, 0.35, 0.05, 0.05, 0.05, 0.05, 0.05, 0.05]) * rng.uniform(0.8, 1.2, (sources, langs, topics)) * 1e5
+    supply[hot] *= 10
+    places = [x.ravel() for x in np.indices(supply.shape)]
+    supply = supply.ravel()
+    assert 0.3 < supply[places[0] == hot].sum() / supply.sum() < 0.4
+    targets = [np.bincount(at, supply) ** p for at, p in zip(places, (0.5, 0.7, 0.0))]
+    w = mixing.rake(supply, places, [t / t.sum() for t in targets], 0.7 * supply.sum())
+    assert (w <= supply + 1e-9).all() and (w / supply).min() > 0.02
+
+
 def test_mixing_keeps_every_row_and_draws_alike(spark):
     rows = corpus() * 2
     sized = mixing.measured(frame(spark, rows))
