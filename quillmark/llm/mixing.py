@@ -18,6 +18,7 @@ OTHER = "(other)"
 NONE = "(none)"
 TOPICS, TOPIC_WORD = 8, 6
 LEAST = 0.25
+MOST_SENT = 1_000_000  # cells; beyond, documents meet them in a join by name
 
 
 def _topic(words: list[bytes], known: dict[bytes, int], topics: int) -> int:
@@ -63,7 +64,8 @@ class Margin:
 def tempered(totals: dict[str, float], power: float) -> dict[str, float]:
     """Target shares in proportion to each total's ``power``: 1 leaves them, 0 makes them equal."""
     raised = {k: v**power for k, v in totals.items() if v > 0}
-    return {k: v / sum(raised.values()) for k, v in raised.items()}
+    total = sum(raised.values())
+    return {k: v / total for k, v in raised.items()}
 
 
 def within(target: np.ndarray, supply: np.ndarray) -> np.ndarray:
@@ -108,51 +110,51 @@ def rake(supply: np.ndarray, places: list[np.ndarray], targets: list[np.ndarray]
     return w
 
 
-def _category(column: str, names: list[str]):
-    value = F.coalesce(F.col(column).cast("string"), F.lit(NONE))
-    return F.when(value.isin(names), value).otherwise(F.lit(OTHER))
+def _category(column: str):
+    return F.coalesce(F.col(column).cast("string"), F.lit(NONE))
 
 
-def category_totals(docs: DataFrame, column: str, tokens: str = "n_tokens", most: int = 256) -> dict[str, float]:
-    """Tokens by category: of the ``most`` largest categories by name, and of all others together. Null is a category."""
-    rows = docs.groupBy(F.coalesce(F.col(column).cast("string"), F.lit(NONE)).alias("k")).agg(F.sum(tokens).cast("double").alias("n"))
-    top = {r.k: r.n for r in rows.orderBy(F.desc("n"), "k").limit(most).collect()}
-    rest = (rows.agg(F.sum("n")).first()[0] or 0.0) - sum(top.values())
-    return top | ({OTHER: rest} if rest > 0 else {})
+def category_totals(docs: DataFrame, column: str, tokens: str = "n_tokens") -> dict[str, float]:
+    """Tokens by category, of every name. Null is a category."""
+    rows = docs.groupBy(_category(column).alias("k")).agg(F.coalesce(F.sum(tokens), F.lit(0)).cast("double").alias("n")).toArrow()
+    return dict(zip(rows.column("k").to_pylist(), rows.column("n").to_pylist()))
 
 
 def mix(docs: DataFrame, margins: list[Margin], keep: float, tokens: str = "n_tokens", doc_id: str = "doc_id", seed: int = 29) -> DataFrame:
     """``docs`` with ``probability`` and ``kept``: documents drawn so that expected tokens meet the margins.
 
-    Token counts are summed by cell of the margins (at most the product of their names, which are given, reaches the
-    driver), raked to the targets with ``keep`` of all tokens as budget and no cell beyond what it has, and a document
+    Token counts are summed by cell of the margins (a row for each combination of names that occurs reaches the driver,
+    as numbers and a name for each category), raked to the targets with ``keep`` of all tokens as budget and no cell beyond what it has, and a document
     is kept with its cell's weight over its cell's tokens as probability. The draw is a hash of the id, the text's hash
     and the seed, so it is the same on every run and however rows are dealt; repeated rows are drawn alike. Nulls are a
     category; a category with no share is in the others, and has no share if the others have none. Documents without
     tokens have their cell's probability. Columns of the result's names are replaced. An empty table gives an empty one.
     """
     plain = docs.drop("probability", "kept")
-    cells = [_category(m.column, [n for n in m.shares if n != OTHER]).alias(f"__m{k}") for k, m in enumerate(margins)]
+    cells = [_category(m.column).alias(f"__m{k}") for k, m in enumerate(margins)]
     names = [f"__m{k}" for k in range(len(margins))]
-    table = plain.select(*cells, F.col(tokens).alias("__n")).groupBy(*names).agg(F.sum("__n").cast("double").alias("n"), F.count("*").alias("docs")).collect()
-    if not table:
+    table = plain.select(*cells, F.col(tokens).alias("__n")).groupBy(*names).agg(F.sum("__n").cast("double").alias("n")).toArrow()
+    if not table.num_rows:
         return plain.withColumn("probability", F.lit(0.0)).withColumn("kept", F.lit(False))
-    table.sort(key=lambda r: tuple(r))
-    supply = np.array([r.n or 0.0 for r in table])
+    table = table.sort_by([(n, "ascending") for n in names]).combine_chunks()
+    supply = np.nan_to_num(table.column("n").to_numpy())
     places, targets = [], []
     for k, m in enumerate(margins):
-        order = sorted({r[k] for r in table} | set(m.shares))
+        coded = pa.concat_arrays(table.column(k).chunks).dictionary_encode()
+        found = [v if v in m.shares else OTHER for v in coded.dictionary.to_pylist()]
+        order = sorted(set(found) | set(m.shares))
         at = {v: i for i, v in enumerate(order)}
-        places.append(np.array([at[r[k]] for r in table]))
+        places.append(np.array([at[v] for v in found])[coded.indices.to_numpy()])
         share = np.array([m.shares.get(v, 0.0) for v in order])
         present = np.bincount(places[-1], supply, minlength=len(order)) > 0
         share = np.where(present, share, 0.0)
         targets.append(share / share.sum() if share.sum() > 0 else np.where(present, 1 / max(1, present.sum()), 0.0))
     weights = rake(supply, places, targets, keep * supply.sum())
     chance = np.where(supply > 0, weights / np.maximum(supply, 1e-300), keep)
-    known = docs.sparkSession.createDataFrame([(*[r[k] for k in range(len(margins))], float(p)) for r, p in zip(table, chance)], ", ".join([*(f"{n} string" for n in names), "probability double"]))
+    known = docs.sparkSession.createDataFrame(table.select(names).append_column("probability", pa.array(chance, pa.float64())))
+    known = F.broadcast(known) if table.num_rows <= MOST_SENT else known
     drawn = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(doc_id), F.xxhash64("text") if "text" in plain.columns else F.lit(0)), 11) / F.lit(float(2**53))
     placed = plain
     for n, c in zip(names, cells):
         placed = placed.withColumn(n, c)
-    return placed.join(F.broadcast(known), names, "left").drop(*names).withColumn("kept", drawn < F.coalesce("probability", F.lit(0.0)))
+    return placed.join(known, names, "left").drop(*names).withColumn("kept", drawn < F.coalesce("probability", F.lit(0.0)))

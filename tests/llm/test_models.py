@@ -186,6 +186,17 @@ def test_rake_lets_every_cell_be_drawn_where_one_source_has_a_third(hot):
     assert (w <= supply + 1e-9).all() and (w / supply).min() > 0.02
 
 
+def test_mixing_tempers_each_of_many_sources_by_itself(spark):
+    rows = [(i, "kara " * (100 + i % 37 * 9), "en", f"src{i}", 0, 1.0, False, -1) for i in range(400)]
+    sized = mixing.measured(frame(spark, rows))
+    totals = mixing.category_totals(sized, "source")
+    assert totals == {f"src{i}": 100 + i % 37 * 9 for i in range(400)}
+    out = mixing.mix(sized, [mixing.Margin("source", mixing.tempered(totals, 0.5))], 0.4).collect()
+    roots = sum(r.n_tokens**0.5 for r in out)
+    for r in out:
+        assert r.probability * r.n_tokens == pytest.approx(0.4 * sum(totals.values()) * r.n_tokens**0.5 / roots, rel=1e-6)
+
+
 def test_mixing_keeps_every_row_and_draws_alike(spark):
     rows = corpus() * 2
     sized = mixing.measured(frame(spark, rows))
