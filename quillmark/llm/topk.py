@@ -41,13 +41,15 @@ def _bounded(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, near: np.nda
 
     near[c] is a distance from pivot c within which k + 1 candidates lie (infinite if the cell has fewer): q.x >= q.p - |q| d.
     """
+    full = np.isfinite(near)
+    reach = np.where(full, near, 0.0)  # a cell with fewer gives no bound, to a zero vector neither
     for batch in batches:
         if not batch.num_rows:
             continue
         q = _integers(batch.column(1), scale)
         d = distances(q, pivots)
         group = d.argmin(1)
-        sure = (q @ pivots.T) - np.sqrt(squares(q))[:, None] * near[None]
+        sure = np.where(full[None], (q @ pivots.T) - np.sqrt(squares(q))[:, None] * reach[None], -np.inf)
         floor = sure.max(1)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(group, pa.int32()), pa.array(d[np.arange(len(d)), group]), pa.array(floor), batch.column(1)],

@@ -37,6 +37,12 @@ def test_top_k_is_exact(spark):
     assert set(found) == {q for q in good if q % 10 == 0}
 
 
+def test_top_k_of_a_zero_vector(spark):
+    rows = [r for r in table() if r[0] != 0]
+    out = top_k(spark.createDataFrame(rows, SCHEMA).repartition(3), F.col("vec_id") == 901).collect()
+    assert sorted((r["rank"], r.query_id, r.vec_id, r.score) for r in out) == [(k, 901, k, 0) for k in range(1, 11)]
+
+
 def test_top_k_of_few_rows_and_none(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0], 1, 0.0), (1, [0.5, 0.0], 1, 0.0)], SCHEMA)
     assert [(r.query_id, r["rank"], r.vec_id) for r in top_k(few, F.col("vec_id") == 0).collect()] == [(0, 1, 1)]
