@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -38,12 +39,17 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a local one only where the cluster names none."""
+    """The folder that the driver and all executors see, which ``spark.checkpoint.dir`` names.
+
+    Where it is unset and everything runs in one process, that is a temporary folder; on a cluster it is an error.
+    """
     sc = spark.sparkContext
     set_dir = sc._jsc.sc().getCheckpointDir()
     if set_dir.isDefined():
         return set_dir.get()
     named = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillmark-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -92,10 +98,15 @@ def only(cache: dict) -> None:
     for x in others:
         x.clear()
     if others:
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library may give freed memory back
-        if trim is not None:
-            trim(0)
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system, as far as the C library does that."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give is not None:
+        give(0)
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:

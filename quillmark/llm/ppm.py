@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -12,36 +13,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillmark.llm.common import kept, lower_words, only, scratch, ship, slices, texts
+from quillmark.llm.common import ASCII_LOWER, kept, only, scratch, ship, slices, texts, trim
 
 ORDER = 5
 END = b"\n"
 SLOTS = 1 << 20
-BATCH = 2 << 20  # bytes of text; arrays of one batch take some fifty times as much
+BATCH = 1 << 20  # bytes of text; arrays of one batch take some sixty times as much
 ALPHABET = 256
+_BLANK = re.compile(rb"[\x20\x09-\x0d]")
 
 
-def _mask(n: int) -> np.uint64:
-    return np.uint64(2 ** (8 * n) - 1)
+def stretches(text: bytes, order: int, limit: int = BATCH) -> Iterator[tuple[list[bytes], list[bytes]]]:
+    """A text in turn, however long it is: some words, and what is complete of its normal form.
 
-
-def grams(documents: list[list[bytes]], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of the normal forms, in turn: the byte with the ``order`` bytes before it, as a number; and where documents end.
-
-    A document's normal form is its words with single spaces and the end mark behind; before it stand end marks.
+    The normal form is the words with A-Z lower-cased and single spaces between, and the end mark behind. It comes in
+    stretches of ``limit`` bytes, the last one shorter, each behind the ``order`` bytes before it; before the first word
+    stand end marks. The end mark is the last word.
     """
-    pad = END * order
-    raw = np.frombuffer(b"".join(pad + b" ".join(w) + END for w in documents), np.uint8)
-    wide = raw.astype(np.uint64)
-    out = wide.copy()
+    held, begun, at = END * order, False, 0
+    while at < len(text):
+        stop = _BLANK.search(text, at + limit)
+        to = stop.start() if stop else len(text)
+        words = text[at:to].translate(ASCII_LOWER).split()
+        at = to
+        if not words:
+            continue
+        held += b" " * begun + b" ".join(words)
+        begun, out = True, []
+        while len(held) > limit + order:
+            out.append(held[: limit + order])
+            held = held[limit:]
+        yield words, out
+    yield [END], [held + END]
+
+
+def grams(parts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of the stretches but the first ``order`` of each, in turn: the byte with the ``order`` bytes before it,
+    as a number; and where each stretch's numbers begin."""
+    raw = np.frombuffer(b"".join(parts), np.uint8)
+    out = raw.astype(np.uint64)
     for k in range(1, order + 1):
-        out[k:] |= wide[:-k] << np.uint64(8 * k)
-    sizes = np.array([sum(map(len, w)) + max(len(w), 1) for w in documents], np.int64)
+        out[k:] |= raw[:-k].astype(np.uint64) << np.uint64(8 * k)
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    starts = np.cumsum(sizes) - sizes
     own = np.ones(len(raw), bool)
-    starts = np.concatenate(([0], np.cumsum(sizes + order)))[:-1]
     for k in range(order):
         own[starts + k] = False
-    return out[own], np.cumsum(sizes)
+    return out[own], starts - order * np.arange(len(parts))
 
 
 def slot(x: np.ndarray, slots: int) -> np.ndarray:
@@ -59,21 +77,18 @@ class GramCounter:
     """Counts of 64-bit numbers in bounded space: the first number of each slot is counted there, and the others in sorted
     runs, which are merged when they are long and leave when there are too many."""
 
-    def __init__(self, slots: int = SLOTS, most: int = 2_000_000):
+    def __init__(self, slots: int = SLOTS, most: int = 1_000_000):
         self.keys, self.counts, self.used = np.zeros(slots, np.uint64), np.zeros(slots, np.int64), np.zeros(slots, bool)
         self.runs, self.held, self.most = [], 0, most
 
     def add(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         """Count numbers; what leaves, if the runs got too long."""
-        at = slot(x, len(self.keys))
-        hit = self.used[at] & (self.keys[at] == x)
-        self.counts += np.bincount(at[hit], minlength=len(self.counts))
-        keys, counts = np.unique(x[~hit], return_counts=True)
+        keys, counts = np.unique(x, return_counts=True)
         at = slot(keys, len(self.keys))
         free = ~self.used[at]
         self.keys[at[free]] = keys[free]  # of several for one slot the last stays
         self.used[at[free]] = True
-        placed = free & (self.keys[at] == keys)
+        placed = self.keys[at] == keys
         self.counts[at[placed]] += counts[placed]
         self.runs.append((keys[~placed], counts[~placed]))
         self.held += len(self.runs[-1][0])
@@ -97,182 +112,121 @@ class GramCounter:
         return np.concatenate([self.keys[full], keys]), np.concatenate([self.counts[full], counts])
 
 
-class Slotted:
-    """Answers of ``walk`` kept by slot; what walk answers with NaN is asked again."""
-
-    def __init__(self):
-        self.cached = np.zeros(SLOTS, np.uint64), np.full(SLOTS, np.nan)
-
-    def walk(self, x: np.ndarray) -> np.ndarray:
-        raise NotImplementedError
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        """As ``walk``, with answers kept by slot."""
-        keys, values = self.cached
-        at = slot(x, SLOTS)
-        out = values[at]
-        new = (keys[at] != x) | np.isnan(out)
-        if new.any():
-            distinct, back = np.unique(x[new], return_inverse=True)
-            found = self.walk(distinct)
-            out[new] = found[back]
-            at = slot(distinct, SLOTS)
-            keys[at], values[at] = distinct, found  # of several for one slot the last pair stays
-        return out
+class Known:
+    """Values of some numbers, and NaN for all others, looked up by slot first and by bisection for what isn't in its slot."""
 
-
-class Known(Slotted):
-    """The answers for some numbers, and NaN for all others."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        super().__init__()
+    def __init__(self, keys: np.ndarray, values: np.ndarray, slots: int = SLOTS):
         o = np.argsort(keys)
         self.keys, self.values = keys[o], values[o]
+        at = slot(self.keys, slots)
+        self.slots = np.full(slots, -1, np.int32)
+        self.slots[at] = np.arange(len(at), dtype=np.int32)  # of several for one slot the last stays
 
-    def walk(self, x: np.ndarray) -> np.ndarray:
-        at, found = _find(self.keys, x)
+    def find(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), np.nan)
-        out[found] = self.values[at[found]]
-        return out
-
-
-def _find(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(table):
-        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
-    at = np.minimum(np.searchsorted(table, x), len(table) - 1)
-    return at, table[at] == x
-
-
-class Trie(Slotted):
-    """Contexts of 0 to ``order`` bytes with the symbols kept after each; its answers are those of the walk from the
-    longest known context down. A symbol that came c of n times has (c - 1/2) / n, and the escape has the rest: half a
-    count for each kept symbol, and the counts of symbols that were not kept. Below, the symbols of the longer context
-    are excluded, and their counts leave the total."""
-
-    def __init__(self, order: int, level: np.ndarray, keys: np.ndarray, counts: np.ndarray):
-        """level[i], keys[i], counts[i]: a context of level[i] bytes with a byte behind it, and how often it came. With a
-        symbol after a context, the symbol after every shorter one must be there."""
-        super().__init__()
-        self.order, self.grams, self.counts, self.contexts = order, [], [], []
-        self.total, self.escape, self.rest_total, self.rest_escape = [], [], [], []
-        for j in range(order + 1):
-            own = level == j
-            k, c = keys[own].astype(np.uint64), counts[own].astype(np.float64)
-            o = np.argsort(k)
-            k, c = k[o], c[o]
-            context, first = np.unique(k >> np.uint64(8), return_index=True)
-            kept = np.add.reduceat(c, first) if len(k) else np.zeros(0)
-            kinds = np.diff(np.concatenate((first, [len(k)]))).astype(np.float64)
-            total = kept.copy()
-            self.rest_total.append(np.zeros(len(context)))
-            self.rest_escape.append(np.zeros(len(context)))
-            if j and len(k):
-                at, known = _find(self.grams[j - 1], context)
-                total[known] = np.maximum(total[known], self.counts[j - 1][at[known]])  # with what was not kept
-                shared = np.add.reduceat(self.counts[j - 1][np.searchsorted(self.grams[j - 1], k & _mask(j))], first)
-                up = np.searchsorted(self.contexts[j - 1], context & _mask(j - 1))
-                self.rest_total[j] = self.total[j - 1][up] - shared
-                self.rest_escape[j] = self.escape[j - 1][up] - 0.5 * kinds
-            self.grams.append(k)
-            self.counts.append(c)
-            self.contexts.append(context)
-            self.total.append(total)
-            self.escape.append(total - kept + 0.5 * kinds)
-
-    def walk(self, x: np.ndarray) -> np.ndarray:
-        """log10 of the chance of the last byte of each number after the bytes before it."""
-        out = np.zeros(len(x))
-        left = np.arange(len(x))  # not yet predicted
-        longer = np.full(len(x), -1)  # context at the level above, for what escaped from there
-        for j in range(self.order, -1, -1):
-            if not len(left):
-                break
-            gram = x[left] & _mask(j + 1)
-            context, known = _find(self.contexts[j], gram >> np.uint64(8))
-            at, seen = _find(self.grams[j], gram)
-            came = longer[left] >= 0
-            total, escape = np.zeros(len(left)), np.zeros(len(left))
-            fresh = known & ~came
-            total[fresh], escape[fresh] = self.total[j][context[fresh]], self.escape[j][context[fresh]]
-            if j < self.order:
-                up = longer[left][came]
-                total[came], escape[came] = self.rest_total[j + 1][up], self.rest_escape[j + 1][up]
-            seen &= known
-            out[left[seen]] += np.log10((self.counts[j][at[seen]] - 0.5) / total[seen])
-            escaped = known & ~seen & (total > 0)
-            out[left[escaped]] += np.log10(escape[escaped] / total[escaped])
-            longer[left[known]] = context[known]
-            left = left[~seen]
-        if len(left):
-            unseen = ALPHABET - len(self.grams[0])
-            out[left] -= np.log10(max(1.0, unseen))
+        if not len(self.keys):
+            return out
+        at = self.slots[slot(x, len(self.slots))]
+        hit = (at >= 0) & (self.keys[at] == x)
+        out[hit] = self.values[at[hit]]
+        other = np.flatnonzero((at >= 0) & ~hit)  # an empty slot has no key
+        at = np.minimum(np.searchsorted(self.keys, x[other]), len(self.keys) - 1)
+        same = self.keys[at] == x[other]
+        out[other[same]] = self.values[at[same]]
         return out
 
-    def score(self, documents: list[list[bytes]]) -> np.ndarray:
-        """log10 of the chance of each document's normal form."""
-        if not documents:
-            return np.zeros(0)
-        x, ends = grams(documents, self.order)
-        return np.add.reduceat(self.predict(x), np.concatenate(([0], ends[:-1])))
-
 
 COUNTED = pa.schema([("word", pa.binary()), ("gram", pa.int64()), ("n", pa.int64())])
 
 
-def _counted(batches: Iterator[pa.RecordBatch], order: int, most_words: int = 200_000) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], order: int, most_words: int = 150_000) -> Iterator[pa.RecordBatch]:
     """Counts of words and of grams of ``order`` + 1 bytes in this partition, in parts."""
     only({})
     words: Counter[bytes] = Counter()
-    counter = GramCounter()
+    counter, parts, held = GramCounter(), [], 0
 
     def of_words() -> pa.RecordBatch:
         n = len(words)
         return pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.nulls(n, pa.int64()), pa.array(list(words.values()), pa.int64())], schema=COUNTED)
 
-    def of_grams(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.binary()), pa.array(keys.view(np.int64)), pa.array(counts)], schema=COUNTED)
+    def of_grams(found: tuple[np.ndarray, np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+        keys, counts = found or ((), ())
+        for i in range(0, len(keys), 100_000):
+            k, c = keys[i : i + 100_000], counts[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.binary()), pa.array(k.view(np.int64)), pa.array(c)], schema=COUNTED)
 
     for batch in slices(batches, BATCH):
-        documents = [lower_words(x) for x in texts(batch)]
-        for w in documents:
-            words.update(w)
-        words[END] += len(documents)
-        if len(words) > most_words:
-            yield of_words()
-            words.clear()
-        if (left := counter.add(grams(documents, order)[0])) is not None:
-            yield of_grams(*left)
+        for text in texts(batch):
+            for some, complete in stretches(text, order):
+                words.update(some)
+                parts += complete
+                held += sum(map(len, complete))
+                if len(words) > most_words:
+                    yield of_words()
+                    words.clear()
+                if held > BATCH:
+                    yield from of_grams(counter.add(grams(parts, order)[0]))
+                    parts, held = [], 0
+    if parts:
+        yield from of_grams(counter.add(grams(parts, order)[0]))
     yield of_words()
-    yield of_grams(*counter.rest())
+    yield from of_grams(counter.rest())
+    del counter, parts, words
+    trim()
+
+
+SCORED = "row long, n_tokens long, head_known long, head_score double, log double, tail array<binary>, rest array<long>, times array<long>"
 
 
-def _scored(batches: Iterator[pa.RecordBatch], model, order: int) -> Iterator[pa.RecordBatch]:
-    """Each text's code length from the bytes that the model answers, and its other bytes with those before them; its share
-    of the baseline from frequent words, and its other words."""
-    head, bytewise = model()
+def _scored(batches: Iterator[pa.RecordBatch], model, order: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of two kinds: a document's columns, with its tokens and what the frequent words give the baseline; and of a
+    document's stretches (``log`` is not null) the code length of the grams that were sent, its other grams with how often
+    each comes, and its other words."""
+    head, sent = model()
     look, first, n = head.__getitem__, TaskContext.get().partitionId() << 33, 0
+    kinds = {"row": pa.int64(), "n_tokens": pa.int64(), "head_known": pa.int64(), "head_score": pa.float64(), "log": pa.float64(), "tail": pa.list_(pa.binary()), "rest": pa.list_(pa.int64()), "times": pa.list_(pa.int64())}
+
+    def rows(like: pa.RecordBatch, columns: dict) -> pa.RecordBatch:
+        size = len(columns["row"])
+        other = {f.name: pa.nulls(size, f.type) for f in like.schema if f.name in names} | {k: pa.nulls(size, t) for k, t in kinds.items()}
+        return pa.RecordBatch.from_pydict(other | columns)
+
+    def solved(like: pa.RecordBatch, waiting: list[tuple[int, list[bytes], bytes]]) -> pa.RecordBatch:
+        x, starts = grams([w[2] for w in waiting], order)
+        logs = sent.find(x)
+        unmet = np.isnan(logs)
+        at = np.repeat(np.arange(len(waiting)), np.diff([*starts, len(x)]))[unmet]
+        x = x[unmet]
+        o = np.lexsort((x, at))
+        x, at = x[o], at[o]
+        new = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (at[1:] != at[:-1]))[: len(x) + 1])) if len(x) else np.zeros(0, np.int64)
+        offsets = pa.array(np.searchsorted(at[new], np.arange(len(waiting) + 1)).astype(np.int32))
+        logs[unmet] = 0.0
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (x[new].view(np.int64), np.diff([*new, len(x)]).astype(np.int64))]
+        return rows(like, {"row": pa.array([w[0] for w in waiting], pa.int64()), "log": pa.array(np.add.reduceat(logs, starts)), "tail": pa.array([w[1] for w in waiting], pa.list_(pa.binary())), "rest": lists[0], "times": lists[1]})
+
     for batch in slices(batches, BATCH):
-        documents = [lower_words(x) for x in texts(batch)]
-        tails, known, base = [], [], []
-        for w in documents:
-            w = [*w, END]
-            v = np.fromiter(map(look, w), np.float64, len(w))
-            other = np.isnan(v)
-            tails.append([w[i] for i in np.flatnonzero(other).tolist()])
-            known.append(len(w) - len(tails[-1]))
-            base.append(float(v[~other].sum()))
-        x, ends = grams(documents, order)
-        logs = bytewise.predict(x)
-        unmet, starts = np.isnan(logs), np.concatenate(([0], ends[:-1]))
-        offsets = np.concatenate(([0], np.cumsum(np.add.reduceat(unmet.astype(np.int64), starts))))
-        rest = pa.LargeListArray.from_arrays(offsets, pa.array(x[unmet].view(np.int64))).cast(pa.list_(pa.int64()))
-        columns = {
-            "row": pa.array(range(first + n, first + n + len(documents)), pa.int64()), "n_tokens": pa.array([len(w) + 1 for w in documents], pa.int64()), "head_known": pa.array(known, pa.int64()),
-            "head_score": pa.array(base, pa.float64()), "head_log": pa.array(np.add.reduceat(np.where(unmet, 0.0, logs), starts)), "tail": pa.array(tails, pa.list_(pa.binary())), "rest": rest,
-        }
-        others = {f: batch.column(k) for k, f in enumerate(batch.schema.names) if f != "text"}
-        n += len(documents)
-        yield pa.RecordBatch.from_pydict(others | columns)
+        tokens, known, base, waiting, held = [], [], [], [], 0
+        for k, text in enumerate(texts(batch)):
+            sums, tail = [0, 0, 0.0], []
+            for words, complete in stretches(text, order):
+                v = np.fromiter(map(look, words), np.float64, len(words))
+                other = np.isnan(v)
+                tail += [words[i] for i in np.flatnonzero(other).tolist()]
+                sums = [sums[0] + len(words), sums[1] + len(words) - int(other.sum()), sums[2] + float(v[~other].sum())]
+                for part in complete:
+                    waiting.append((first + n + k, tail, part))
+                    tail, held = [], held + len(part)
+                if held > BATCH:
+                    yield solved(batch, waiting)
+                    waiting, held = [], 0
+            for column, x in zip((tokens, known, base), sums):
+                column.append(x)
+        if waiting:
+            yield solved(batch, waiting)
+        own = {f: batch.column(k) for k, f in enumerate(batch.schema.names) if f in names}
+        yield rows(batch, own | {"row": pa.array(range(first + n, first + n + batch.num_rows), pa.int64()), "n_tokens": pa.array(tokens, pa.int64()), "head_known": pa.array(known, pa.int64()), "head_score": pa.array(base, pa.float64())})
+        n += batch.num_rows
 
 
 class _Head(dict):
@@ -280,18 +234,18 @@ class _Head(dict):
         return float("nan")
 
 
-_MODELS: dict[str, tuple[_Head, Slotted]] = kept({})
+_MODELS: dict[str, tuple[_Head, Known]] = kept({})
 
 
-def _loader(sent, name: str, order: int):
+def _loader(sent, name: str):
     """The model of a broadcast, built once for each worker."""
 
-    def load() -> tuple[_Head, Slotted]:
+    def load() -> tuple[_Head, Known]:
         only(_MODELS)
         if name not in _MODELS:
             _MODELS.clear()
-            words, values, *held = sent.value
-            _MODELS[name] = _Head(zip(words.split(b" ") if words else [], values.tolist())), Trie(order, *held) if len(held) == 3 else Known(*held)
+            words, values, keys, logs = sent.value
+            _MODELS[name] = _Head(zip(words.split(b" ") if words else [], values.tolist())), Known(keys, logs)
         return _MODELS[name]
 
     return load
@@ -312,6 +266,14 @@ def _suffix(gram: str, size: str):
     return F.expr(f"CASE WHEN {size} >= 8 THEN {gram} ELSE {gram} & (shiftleft(1L, 8 * ({size})) - 1) END")
 
 
+def levels(longest: DataFrame, order: int) -> DataFrame:
+    """``(level, gram, n)``: of the counted grams of ``order`` + 1 bytes, the counts of their last bytes, for each level."""
+    every = longest.select("gram", "n", F.lit(order).alias("level"))
+    for j in range(order):
+        every = every.unionByName(longest.groupBy(_suffix("gram", str(j + 1)).alias("gram")).agg(F.sum("n").alias("n")).withColumn("level", F.lit(j)))
+    return every
+
+
 def contexts(nodes: DataFrame) -> DataFrame:
     """Of the pairs ``(level, gram, n)`` of a whole trie each context: ``total`` and ``kinds`` of what came after it, and
     ``rest_total`` and ``rest_kinds``, those of the context shorter by a byte without the symbols that came after this one.
@@ -356,79 +318,64 @@ def walked(asked: DataFrame, nodes: DataFrame, held: DataFrame, order: int) -> D
     return of.select("gram", (first + F.col("escapes") - F.coalesce("last.log", F.lit(0.0)) + found).alias("value"))
 
 
-def score(docs: DataFrame, training=None, order: int = ORDER, most_nodes: int = 2_000_000, head_words: int = 200_000) -> DataFrame:
+def score(docs: DataFrame, training=None, order: int = ORDER, head_grams: int = 500_000, head_words: int = 100_000) -> DataFrame:
     """``docs`` without ``text``, with ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``, all of whole texts.
 
     Tokens are words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, then one end. ``training`` is a condition on rows;
     all rows that meet it are counted (all rows, if it is None): every word, and every byte with its ``order`` bytes before.
 
-    ``base_score`` is the sum over tokens of log10((c + 0.1) / (N + 0.1 (V + 1))). Counts of the most frequent words,
-    ``head_words`` at most (of at most 64 bytes each), are sent to the executors; all other words meet their counts in a join.
-
-    ``score`` is log10 of the trie's chance of the text's words with single spaces and an end. The trie has every counted
-    pair of a context and a byte, whatever their number. Up to ``most_nodes`` of them it is sent to the executors; beyond,
-    only the chances of the most frequent pairs of the longest contexts, ``most_nodes`` at most, are, and the text's other
-    pairs meet the whole trie in joins (``walked``). Both bounds say what is sent, and change no result.
-
-    A null or empty text has one token, the end. Repeated rows count, and are scored, each. A null doc_id's row trains.
-    Columns of the result's names, or named ``row``, are replaced. Without training rows N and V are 0 and every byte is
-    as likely. An empty table gives an empty one. The counted and the scored rows are written once to the shared folder.
+    ``base_score`` is the sum over tokens of log10((c + 0.1) / (N + 0.1 (V + 1))). ``score`` is log10 of the trie's chance
+    of the text's words with single spaces and an end. The trie has every counted pair of a context and a byte, whatever
+    their number, and stays a table: a byte whose pair with its ``order`` bytes before was counted has its chance at that
+    level, and all other bytes walk the trie's levels in joins (``walked``). Of the commonest pairs the chances, and of the
+    commonest words (of at most 64 bytes) the counts are sent to the executors, ``head_grams`` and ``head_words`` at most;
+    that saves joins and changes no result.
+
+    A text is read in stretches of a megabyte, so what a worker holds doesn't grow with it. A null or empty text has one
+    token, the end. Repeated rows count, and are scored, each. A null doc_id's row trains. Columns of the result's names,
+    or named as the columns of SCORED, are replaced. Without training rows N and V are 0 and every byte is as likely. An
+    empty table gives an empty one. The counted and the scored rows are written once to the shared folder.
     """
     spark = docs.sparkSession
     ship(spark)
     base = scratch(spark, "ppm")
-    plain = docs.drop("row", "n_tokens", "n_known", "head_known", "head_score", "head_log", "train_tokens", "base_score", "score", "tail", "rest")
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.option("compression", "zstd").parquet(f"{base}/{name}")
+        return spark.read.parquet(f"{base}/{name}")
+
+    plain = docs.drop("row", "n_tokens", "n_known", "head_known", "head_score", "log", "train_tokens", "base_score", "score", "tail", "rest", "times")
     learned = plain.where(training) if training is not None else plain
     counted = learned.select("text").mapInArrow(lambda b: _counted(b, order), "word binary, gram long, n long")
-    counted.groupBy("word", "gram").agg(F.sum("n").alias("n")).write.option("compression", "zstd").parquet(f"{base}/counts")
-    counts = spark.read.parquet(f"{base}/counts")
+    counts = stored(counted.groupBy("word", "gram").agg(F.sum("n").alias("n")), "counts")
     words, longest = counts.where("word IS NOT NULL").select("word", "n"), counts.where("gram IS NOT NULL").select("gram", "n")
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    nodes = None
-    for j in range(order, -1, -1):
-        key = F.col("gram") if j == 7 else F.col("gram").bitwiseAND(F.lit((1 << (8 * (j + 1))) - 1))
-        own = longest.groupBy(key.alias("gram")).agg(F.sum("n").alias("n")).withColumn("level", F.lit(j))
-        nodes = own if nodes is None else nodes.unionByName(own)
-    nodes.write.option("compression", "zstd").parquet(f"{base}/nodes")
-    nodes = spark.read.parquet(f"{base}/nodes")
-    whole = nodes.count() <= most_nodes
     chance = F.log10((F.col("n") - 0.5) / F.sum("n").over(Window.partitionBy(F.shiftrightunsigned("gram", 8))))
-    pairs = nodes.where(F.col("level") == order).select("gram", "n", chance.alias("value"))
-    if whole:
-        every = nodes.select("level", "gram", "n").toArrow()
-        level, keys, seen = (every.column(c).to_numpy() for c in ("level", "gram", "n"))
-        del every
-        held = level.astype(np.int8), keys.astype(np.int64).view(np.uint64), seen.astype(np.int64)
-    else:
-        top = pairs.where(F.col("n") >= least_count(nodes.where(F.col("level") == order), most_nodes)).select("gram", "value").toArrow()
-        held = top.column("gram").to_numpy().astype(np.int64).view(np.uint64), top.column("value").to_numpy().astype(np.float64)
-        del top
+    pairs = stored(longest.select("gram", "n", chance.alias("value")), "pairs")
+    top = pairs.where(F.col("n") >= least_count(pairs, head_grams)).select("gram", "value").toArrow()
     short = words.where(F.length("word") <= 64)
     frequent = short.where(F.col("n") >= least_count(short, head_words)).toArrow()
     scale = np.log10(total + 0.1 * (kinds + 1))
     values = np.log10(frequent.column("n").to_numpy().astype(np.float64) + 0.1) - scale
-    sent = spark.sparkContext.broadcast((b" ".join(frequent.column("word").to_pylist()), values, *held))
-    del held, frequent
-    load = _loader(sent, base, order)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema if f.name != "text"]
-    out = ", ".join([*fields, "row long, n_tokens long, head_known long, head_score double, head_log double, tail array<binary>, rest array<long>"])
-    plain.mapInArrow(lambda b: _scored(b, load, order), out).write.option("compression", "zstd").parquet(f"{base}/scored")
-    scored = spark.read.parquet(f"{base}/scored")
-    tail = scored.select("row", F.explode("tail").alias("word")).join(words, "word", "left")
+    sent = spark.sparkContext.broadcast((b" ".join(frequent.column("word").to_pylist()), values, top.column("gram").to_numpy().astype(np.int64).view(np.uint64), top.column("value").to_numpy().astype(np.float64)))
+    del top, frequent
+    load, own = _loader(sent, base), [f for f in plain.schema if f.name != "text"]
+    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own), SCORED])
+    names = [f.name for f in own]
+    scored = stored(plain.mapInArrow(lambda b: _scored(b, load, order, names), out), "scored")
+    parts = scored.where("log IS NOT NULL")
+
+    rest = parts.select("row", F.inline(F.arrays_zip("rest", "times"))).toDF("row", "gram", "times")
+    met = stored(rest.join(pairs.select("gram", "value"), "gram", "left"), "met")
+    asked = stored(met.where("value IS NULL").select("gram").distinct(), "asked")
+    nodes = stored(levels(pairs.select("gram", "n"), order), "nodes")
+    found = met.where("value IS NULL").drop("value").join(walked(asked, nodes, stored(contexts(nodes), "contexts"), order), "gram")
+    logs = parts.select("row", F.col("log").alias("value"), F.lit(1).alias("times")).unionByName(met.where("value IS NOT NULL").drop("gram")).unionByName(found.drop("gram"))
+    logs = logs.groupBy("row").agg(F.sum(F.col("value") * F.col("times")).alias("score"))
+    tail = parts.select("row", F.explode("tail").alias("word")).join(words, "word", "left")
     tail = tail.groupBy("row").agg(F.count("n").alias("tail_known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1)) - F.lit(float(scale))).alias("tail_score"))
-    joined = scored.drop("tail", "rest").join(tail, "row", "left")
-    score_ = F.col("head_log")
-    if not whole:
-        rest = scored.select("row", F.explode("rest").alias("gram"))
-        rest.select("gram").distinct().join(pairs.select("gram", "value"), "gram", "left").write.option("compression", "zstd").parquet(f"{base}/asked")
-        contexts(nodes).write.option("compression", "zstd").parquet(f"{base}/contexts")
-        asked = spark.read.parquet(f"{base}/asked")
-        found = asked.where("value IS NOT NULL").unionByName(walked(asked.where("value IS NULL").select("gram"), nodes, spark.read.parquet(f"{base}/contexts"), order))
-        rest = rest.join(found, "gram").groupBy("row").agg(F.sum("value").alias("rest_log"))
-        joined = joined.join(rest, "row", "left")
-        score_ = F.col("head_log") + F.coalesce("rest_log", F.lit(0.0))
-    columns = [f for f in plain.columns if f != "text"]
+    joined = scored.where("log IS NULL").drop("log", "tail", "rest", "times").join(logs, "row", "left").join(tail, "row", "left")
     return joined.select(
-        *columns, "n_tokens", (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("head_score") + F.coalesce("tail_score", F.lit(0.0))).alias("base_score"), score_.alias("score"),
+        *names, "n_tokens", (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
+        (F.col("head_score") + F.coalesce("tail_score", F.lit(0.0))).alias("base_score"), "score",
     )

@@ -90,35 +90,58 @@ def lowered(t):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split()
 
 
-def test_ppm_chances_sum_to_one_and_equal_the_plain_walk(spark):
-    rows = [r for r in corpus() if r[0] is not None]
-    documents = [lowered(r[1]) for r in rows]
-    counter = ppm.GramCounter(1 << 10, most=200)
-    parts = [x for i in range(0, len(documents), 7) if (x := counter.add(ppm.grams(documents[i : i + 7], 3)[0])) is not None] + [counter.rest()]
-    keys, counts = ppm.summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-    plain = Counter(ppm.grams(documents, 3)[0].tolist())
-    assert dict(zip(keys.tolist(), counts.tolist())) == plain
-    level, gram, n = [], [], []
-    for j in range(4):
-        for g, c in summed_level(plain, j).items():
-            level.append(j), gram.append(g), n.append(c)
-    level, gram, n = np.array(level), np.array(gram, np.uint64), np.array(n)
-    for least in (1, 3):
-        keep = n >= least
-        trie = ppm.Trie(3, level[keep], gram[keep], n[keep])
-        for x in ppm.grams(documents[:2], 3)[0][[0, 5, 20]]:
-            every = (x & ~np.uint64(255)) | np.arange(256, dtype=np.uint64)
-            assert (10 ** trie.walk(every)).sum() == pytest.approx(1)
-        x, ends = ppm.grams(documents, 3)
-        assert np.allclose(trie.predict(x), trie.walk(x)) and np.allclose(trie.predict(x), trie.walk(x))
-        assert np.allclose(trie.score(documents), [sum(trie.walk(ppm.grams([d], 3)[0])) for d in documents])
-
-
-def summed_level(plain, j):
-    out = Counter()
-    for g, c in plain.items():
-        out[g & (2 ** (8 * (j + 1)) - 1)] += c
-    return out
+class PlainPpm:
+    """Prediction by partial matching with dictionaries and one symbol at a time: symbols of longer contexts are excluded by
+    name, a symbol that came c of n times has (c - 1/2) / n, and each kind of symbol gives half a count to the escape."""
+
+    def __init__(self, texts, order):
+        self.order, self.after = order, {}
+        for t in texts:
+            form = b"\n" * order + b" ".join(lowered(t)) + b"\n"
+            for i in range(order, len(form)):
+                for j in range(order + 1):
+                    self.after.setdefault(form[i - j : i], Counter())[form[i]] += 1
+
+    def chance(self, before, symbol):
+        out, excluded = 1.0, set()
+        for j in range(self.order, -1, -1):
+            came = self.after.get(before[len(before) - j :])
+            if came is None:
+                continue
+            open_ = {s: c for s, c in came.items() if s not in excluded}
+            total = sum(open_.values())
+            if symbol in open_:
+                return out * (open_[symbol] - 0.5) / total
+            if total:
+                out *= 0.5 * len(open_) / total
+            excluded |= set(came)
+        return out / max(1, 256 - len(self.after.get(b"", ())))
+
+    def score(self, text):
+        form = b"\n" * self.order + b" ".join(lowered(text)) + b"\n"
+        return sum(math.log10(self.chance(form[i - self.order : i], form[i])) for i in range(self.order, len(form)))
+
+
+def test_plain_chances_sum_to_one():
+    model = PlainPpm([t for _, t, *_ in corpus()[:12]], 3)
+    for before in (b"\n\n\n", b"kar", b"ra ", b"zzz", b"zka"):
+        assert sum(model.chance(before, s) for s in range(256)) == pytest.approx(1)
+
+
+def test_grams_are_counted_whatever_the_stretches_and_slots():
+    texts = [t or "" for _, t, *_ in corpus()]
+    plain = Counter()
+    for t in texts:
+        form = b"\n" * 3 + b" ".join(lowered(t)) + b"\n"
+        plain.update(int.from_bytes(form[i - 3 : i + 1], "big") for i in range(3, len(form)))
+    for limit, slots, most in ((1 << 20, 1 << 10, 200), (7, 1 << 4, 50), (100, 1 << 16, 10**6)):
+        counter, left = ppm.GramCounter(slots, most), []
+        for t in texts:
+            parts = [p for _, complete in ppm.stretches(t.encode(), 3, limit) for p in complete]
+            left.append(counter.add(ppm.grams(parts, 3)[0]))
+        left = [x for x in left if x is not None] + [counter.rest()]
+        keys, counts = ppm.summed(np.concatenate([x[0] for x in left]), np.concatenate([x[1] for x in left]))
+        assert dict(zip(keys.tolist(), counts.tolist())) == plain
 
 
 @pytest.mark.parametrize("head", [200_000, 5])
@@ -143,16 +166,29 @@ def test_baseline_equals_brute_force(spark, head):
 
 @pytest.mark.parametrize("most", [10**9, 300, 20])
 def test_ppm_scores_by_every_counted_pair_however_few_are_sent(spark, most):
-    rows = [*corpus(), (4 * 10**6, "zzz qqq karana \u00e9\u00e8 kara", "en", "src0", 0, 1.0, False, -1)]
+    rows = [*corpus(), (4 * 10**6, "zzz qqq karana \u00e9\u00e8 kara", "en", "src0", 0, 1.0, False, -1), (8 * 10**6, "qqz " * 5000, "en", "src0", 0, 1.0, False, -1)]
     docs = frame(spark, rows).withColumn("held", F.coalesce(F.col("doc_id") % 4 == 0, F.lit(False)))
-    plain = Counter(ppm.grams([lowered(t) for i, t, *_ in rows if i is None or i % 4], 5)[0].tolist())
-    level, gram, n = (np.array(c) for c in zip(*[(j, g, c) for j in range(6) for g, c in summed_level(plain, j).items()]))
-    trie = ppm.Trie(5, level, gram.astype(np.uint64), n)
-    out = ppm.score(docs, ~F.col("held"), most_nodes=most).collect()
-    assert len(out) == len(rows) and len(gram) > 300
+    model = PlainPpm([t for i, t, *_ in rows if i is None or i % 4], 5)
+    out = ppm.score(docs, ~F.col("held"), head_grams=most).collect()
+    assert len(out) == len(rows)
     for r in out:
-        text = next(t for i, t, *_ in rows if i == r.doc_id)
-        assert r.score == pytest.approx(trie.score([lowered(text)])[0], rel=1e-9)
+        assert r.score == pytest.approx(model.score(next(t for i, t, *_ in rows if i == r.doc_id)), rel=1e-9)
+
+
+def test_ppm_reads_a_long_text_in_stretches(spark):
+    """30 MB in one text: the workers' peak stays far under the arrays that the whole text would take."""
+    import tracemalloc
+
+    text = ("kara lose mitina nupo " * 40 + "\n") * (30_000_000 // 881)
+    tracemalloc.start()
+    n = sum(len(w) for w, _ in ppm.stretches(text.encode(), 5))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(text.split()) + 1 and peak < 80 << 20
+    docs = spark.createDataFrame([(1, text), (2, "kara lose"), (3, None)], "doc_id long, text string")
+    out = {r.doc_id: r for r in ppm.score(docs).collect()}
+    assert out[1].n_tokens == n == out[1].n_known and out[1].train_tokens == n + 4
+    assert out[3].n_tokens == 1 and all(r.score < 0 for r in out.values())
 
 
 def test_ppm_without_rows_or_training(spark):
