@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -148,7 +149,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = 4096, space:
     an empty table gives no pieces. With ``keep_ids=False``, ``ids`` holds the crc32 of a piece's ids (4 bytes, big-endian).
 
     Nothing is shuffled but the open windows. The windows are written once to the shared folder, so a task that runs
-    again after a lost executor makes the same rows.
+    again after a lost executor makes the same rows; at the end the ids in all windows are counted against those encoded.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -156,17 +157,21 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = 4096, space:
     base = scratch(spark, "packed")
     source = docs.select("doc_id", "text")
     source.mapInArrow(lambda b: _first(b, path, size, space, keep_ids, cut), OUT_DDL).write.option("compression", "zstd").parquet(f"{base}/0")
-    level = 0
+    levels = [spark.read.parquet(f"{base}/0")]
     while True:
-        done = spark.read.parquet(f"{base}/{level}")
-        homes = done.agg(F.max("home")).first()[0]
-        if homes is None or level and homes == 0:
+        level, left = len(levels), levels[-1].where("not closed")
+        low, high = left.agg(F.min("home"), F.max("home")).first()
+        if low is None:
             break
-        groups, level = homes // fan_in + 1, level + 1
-
-        left = done.where("not closed").withColumn("home", F.floor(F.col("home") / fan_in).cast("long"))
-        left.groupBy("home").applyInArrow(_merger(level, size, space, keep_ids, cut, groups == 1), OUT_DDL).write.option("compression", "zstd").parquet(f"{base}/{level}")
-    windows = spark.read.parquet(*[f"{base}/{k}" for k in range(level + 1)]).where("closed")
+        merge = _merger(level, size, space, keep_ids, cut, low // fan_in == high // fan_in)
+        left = left.withColumn("home", F.floor(F.col("home") / fan_in).cast("long"))
+        left.groupBy("home").applyInArrow(merge, OUT_DDL).write.option("compression", "zstd").parquet(f"{base}/{level}")
+        levels.append(spark.read.parquet(f"{base}/{level}"))
+    whole = reduce(DataFrame.unionByName, levels)
+    packed, given = whole.agg(F.sum(F.when(F.col("closed"), F.col("size"))), F.sum(F.when(F.col("level") == 0, F.col("size")))).first()
+    if packed != given:
+        raise RuntimeError(f"of {given} ids {packed} were packed")
+    windows = whole.where("closed")
     number = F.expr("cast(level as long) * 72057594037927936 + home * 4294967296 + window").alias("sequence_id")
     before = F.expr("transform(pieces, (p, i) -> named_struct('p', p, 'offset', aggregate(slice(pieces, 1, i), 0L, (a, x) -> a + x.length)))")
     out = windows.select(number, F.explode(before).alias("x"))

@@ -1,6 +1,8 @@
+import random
 import zlib
 
 import numpy as np
+import pytest
 
 from quillmark.llm import packing, sstable
 from quillmark.llm.common import scratch
@@ -78,6 +80,31 @@ def test_packing_keeps_every_id_and_pads_nothing(spark):
         assert all(n & (n - 1) == 0 for n in sizes)
 
 
+def placed(spark, rows, partitions):
+    """Documents of so many ids in these partitions: rows of (partition, ids)."""
+    texts = [(k, p, "a " * (n - 1)) for k, (p, n) in enumerate(rows)]
+    frames = [spark.createDataFrame([(k, t) for k, q, t in texts if q == p], "doc_id long, text string").coalesce(1) for p in range(partitions)]
+    docs = frames[0]
+    for f in frames[1:]:
+        docs = docs.union(f)
+    return docs, [(k, t) for k, _, t in texts]
+
+
+def test_packing_loses_no_window_where_later_partitions_close_exactly(spark):
+    docs, rows = placed(spark, [(0, 3), (1, 3), (2, 8), (3, 8)], 4)
+    sizes = checked(packing.pack(docs, size=8, fan_in=2).collect(), rows, 8)
+    assert sorted(sizes) == [2, 4, 8, 8]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_packing_random_partitions(spark, seed):
+    rng = random.Random(seed)
+    partitions, size = rng.choice([1, 3, 5, 7]), rng.choice([4, 8, 16])
+    docs, rows = placed(spark, [(rng.randrange(partitions), rng.choice([1, size // 2, size, rng.randint(1, 3 * size)])) for _ in range(rng.randint(1, 30))], partitions)
+    sizes = checked(packing.pack(docs, size=size, space=rng.randint(1, 3), fan_in=rng.randint(2, 4)).collect(), rows, size)
+    assert all(n & (n - 1) == 0 for n in sizes)
+
+
 def test_packing_whole_documents_when_asked(spark):
     rows = corpus()
     pieces = packing.pack(frame(spark, rows), size=4096, cut=False).collect()
