@@ -148,19 +148,17 @@ def _confirmed(percent: int):
 
 
 def _within_blocks(percent: int, at_least: int):
-    """Rows come sorted by bucket and pair of blocks: pairs of different components whose signatures are near enough."""
+    """Rows come sorted by bucket and block: a block's members, and the bucket's probes. Pairs of a probe and a member of
+    another component whose signatures are near enough; two probes meet in the block of the larger id."""
 
     def solve(rows: pa.Table) -> pa.RecordBatch | None:
-        ids, parts, n, side = (rows.column(c).to_numpy() for c in ("id", "component", "n", "block"))
-        i, j, key = rows.column("i")[0].as_py(), rows.column("j")[0].as_py(), rows.column("key")[0].as_py() >> 48
+        ids, parts, n, member, probe = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("id", "component", "n", "member", "probe"))
+        key = rows.column("key")[0].as_py() >> 48
         sketch = _matrix(rows.column("sketch"))
         symbols, finer = np.ascontiguousarray(sketch[:, : 2 * SYMBOLS]).view("<u2"), sketch[:, 2 * SYMBOLS :]
         out = []
-        for r in range(len(ids)):
-            if side[r] != i:
-                continue
-            others = np.arange(r + 1, len(ids)) if i == j else np.flatnonzero(side == j)
-            others = others[(parts[others] != parts[r]) & (100 * np.minimum(n[others], n[r]) >= percent * np.maximum(n[others], n[r]))]
+        for r in np.flatnonzero(probe).tolist():
+            others = np.flatnonzero(member & (parts != parts[r]) & (~probe | (ids > ids[r])) & (100 * np.minimum(n, n[r]) >= percent * np.maximum(n, n[r])))
             if len(others):
                 others = others[first_key(np.broadcast_to(symbols[r], (len(others), SYMBOLS)), symbols[others]) == key]
             if len(others):
@@ -176,7 +174,7 @@ def _within_blocks(percent: int, at_least: int):
         for batch in slices(batches, 4 << 20):
             new = pa.Table.from_batches([batch])
             held = pa.concat_tables([held, new]) if held is not None else new
-            marks = [held.column(c).to_numpy() for c in ("key", "i", "j")]
+            marks = [held.column(c).to_numpy() for c in ("key", "block")]
             cuts = np.flatnonzero(np.any([m[1:] != m[:-1] for m in marks], axis=0)) + 1
             at = 0
             for to in cuts.tolist():
@@ -211,10 +209,12 @@ def link_documents(docs: DataFrame, percent: int = 75, most_sent: int = 1_000_00
     At a similarity of 0.75 a pair shares none with a chance of 0.00002.
 
     In each bucket the first document is compared with each other one; links are confirmed on the whole sets and give
-    components. Buckets that still hold several components then go, in blocks, through their pairs across components,
-    each pair in the first bucket it shares, and a finer signature leaves out those far below the threshold before the
-    sets are compared. Pairs within a component are never listed. ``most_sent`` bounds the ids sent to the executors to
-    pick the documents whose sets are needed; beyond it that is a shuffled join.
+    components. In a bucket that still holds several components, the members outside its largest one are probes: they go
+    to each of the bucket's blocks and meet the members of other components there, each pair in the first bucket it
+    shares, and a finer signature leaves out those far below the threshold before the sets are compared. Pairs within a
+    component are never listed, and the rows dealt follow the pairs across components. ``most_sent`` bounds the ids sent
+    to the executors to pick the documents whose sets are needed; beyond it that is a shuffled join. Sides of joins that
+    may be skewed are written first, so that adaptive execution can split a hot key.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -230,13 +230,15 @@ def link_documents(docs: DataFrame, percent: int = 75, most_sent: int = 1_000_00
     classes = sketches.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"), F.any_value("n").alias("n"), F.any_value("signature").alias("signature"))
     classes = stored(classes, "classes")
     keys = classes.select("id", "n", "signature").mapInArrow(_keyed, "key long, id long, n long")
-    shared = keys.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("id", "n")).alias("first")).where("size > 1")
+    shared = stored(keys.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("id", "n")).alias("first")).where("size > 1"), "shared")
     members = stored(keys.join(shared, "key"), "members")
     pairs = members.where("id <> first.id AND 100 * least(n, first.n) >= %d * greatest(n, first.n)" % percent).select(F.col("first.id").alias("a"), F.col("id").alias("b")).distinct()
     wanted = members.select("id").distinct().join(classes.select("id", "digest"), "id")
     wanted = stored(wanted, "wanted")
     ids = wanted.select(F.col("id").alias("doc_id"), "digest")
     texts_wanted = source.join(F.broadcast(ids) if ids.count() <= most_sent else ids, "doc_id").select("doc_id", "text", "digest")
+    repeated = sketches.where("digest IS NOT NULL").groupBy("doc_id", "digest").count().where("count > 1").limit(1).count()
+    texts_wanted = texts_wanted.dropDuplicates(["doc_id", "text", "digest"]) if repeated else texts_wanted
     details = stored(texts_wanted.mapInArrow(_detailed, "id long, sketch binary, hashes binary"), "details")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
@@ -247,11 +249,13 @@ def link_documents(docs: DataFrame, percent: int = 75, most_sent: int = 1_000_00
     parts = stored(components(links), "parts")
     several = members.where("size > 2").select("key", "id", "n", "size").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     several = stored(several, "several")
-    open_keys = several.groupBy("key").agg((F.min("component") < F.max("component")).alias("open")).where("open").select("key")
-    rows = several.join(open_keys, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    rows = rows.join(details.select("id", "sketch"), "id").select("key", "i", "j", "block", "id", "component", "n", "sketch")
-    across = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_within_blocks(percent, at_least), "a long, b long")
+    sizes = several.groupBy("key", "component").agg(F.count("*").alias("held"))
+    open_keys = stored(sizes.groupBy("key").agg(F.max(F.struct("held", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("largest.component").alias("largest")), "open")
+    rows = several.join(open_keys, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    rows = rows.withColumn("probe", F.col("component") != F.col("largest"))
+    rows = rows.withColumn("block", F.explode(F.when(F.col("probe"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own")))).withColumn("member", F.col("block") == F.col("own"))
+    rows = rows.select("key", "block", "id", "component", "n", "member", "probe").join(details.select("id", "sketch"), "id")
+    across = rows.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_within_blocks(percent, at_least), "a long, b long")
     more = confirmed(stored(across.distinct(), "across"), "more")
     placed = sketches.where("digest IS NOT NULL AND doc_id IS NOT NULL").join(classes.select("digest", "id"), "digest").select("doc_id", "id")
     several_texts = placed.groupBy("doc_id").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("doc_id")

@@ -59,6 +59,41 @@ def test_components_equal_brute_force(spark, monkeypatch):
         assert r.kept == (r.doc_id == r.component_id)
 
 
+def test_one_large_component_and_others_in_one_bucket(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    rng = random.Random(11)
+    base = sentence(rng, 80).split()
+    rows = []
+    for k in range(60):  # most edit the middle; some share only the first half or so
+        w = list(base)
+        w[40] = f"edit{k}"
+        if k % 7 == 0:
+            w[44 + k % 3 * 5 :] = [f"own{k // 21}x{i}" for i in range(36 - k % 3 * 5)]
+        rows.append((500 - k, " ".join(w), None, None, 0, 0.0, None, 0))
+    out = near_dedup.link_documents(frame(spark, rows * 2)).collect()
+    wanted = brute(rows)
+    assert len(out) == 120 and len(set(wanted.values())) > 2
+    assert all(r.component_id == wanted[r.doc_id] for r in out)
+
+
+def test_recall_just_over_the_threshold():
+    """Planted pairs of similarity 0.75 to 0.80: nearly all share a key, and none falls to the finer signature."""
+    rng, missed, lost, n = np.random.default_rng(3), 0, 0, 3000
+    for k in range(n):
+        size = int(rng.integers(40, 400))
+        both = int(np.ceil(rng.uniform(0.75, 0.80) * size))
+        h = near_dedup.mix64(rng.integers(0, 2**63, size).astype(np.uint64))
+        alone = int(rng.integers(0, size - both + 1))
+        a, b = np.sort(h[: both + alone]), np.sort(np.concatenate([h[:both], h[both + alone :]]))
+        assert len(np.intersect1d(a, b)) >= 0.75 * size
+        x, y = (np.frombuffer(near_dedup.coarse(v), "<u2")[None] for v in (a, b))
+        missed += not (near_dedup.bucket_keys(x) == near_dedup.bucket_keys(y)).any()
+        if k % 10 == 0:
+            p, q = (np.frombuffer(near_dedup.fine(v), np.uint8) for v in (a, b))
+            lost += (p == q).sum() < near_dedup.least_agreement(0.75)
+    assert missed <= 1 and lost == 0
+
+
 def test_shuffled_way_and_empty_table(spark):
     rows = variants(4, 12)
     out = near_dedup.link_documents(frame(spark, rows), most_sent=0).collect()
