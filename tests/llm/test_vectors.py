@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillmark.llm.embedding_dedup import link_vectors
@@ -47,11 +48,15 @@ def test_top_k_of_few_rows_and_none(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0], 1, 0.0), (1, [0.5, 0.0], 1, 0.0)], SCHEMA)
     assert [(r.query_id, r["rank"], r.vec_id) for r in top_k(few, F.col("vec_id") == 0).collect()] == [(0, 1, 1)]
     assert top_k(few.where("false"), F.lit(True)).collect() == []
+    mixed = spark.createDataFrame([(0, [1.0, 0.0], 1, 0.0), (1, [0.5, 0.0], 1, 0.0), (2, [1.0], 1, 0.0), (3, [], 1, 0.0)], SCHEMA)
+    assert [(r.query_id, r["rank"], r.vec_id) for r in top_k(mixed, F.lit(True)).orderBy("query_id").collect()] == [(0, 1, 1), (1, 1, 0)]
+    tied = spark.createDataFrame([(i, [1.0, 2.0], 1, 0.0) for i in range(30)] * 3, SCHEMA)
+    assert sorted((r["rank"], r.vec_id) for r in top_k(tied, F.col("vec_id") == 4, data_block=7).collect()) == [(k + 1, k + (k >= 4)) for k in range(10)]
 
 
 def test_links_are_exact(spark):
     rows = table(2)
-    out = link_vectors(spark.createDataFrame(rows, SCHEMA).repartition(3), cell_rows=20, home_block=16, other_block=32).collect()
+    out = link_vectors(spark.createDataFrame(rows, SCHEMA).repartition(3), cell_rows=20, block_rows=16).collect()
     assert len(out) == len(rows)
     good = [(i, np.array(v, np.float64), lab) for i, v, lab, _ in rows if i is not None and lab is not None and usable(v) and any(v)]
     links = [(a, b) for a, x, p in good for b, y, q in good if a != b and p == q and x @ y / (np.sqrt(x @ x) * np.sqrt(y @ y)) >= 0.98]
@@ -65,5 +70,21 @@ def test_links_are_exact(spark):
     assert len(links) > 100
 
 
+def test_links_of_repeated_ids_and_other_widths(spark):
+    rows = [(1, [1.0, 0.0, 0.0], 1, 0.0), (1, [0.0, 1.0, 0.0], 1, 0.0), (2, [1.0, 0.01, 0.0], 1, 0.0), (3, [0.0, 1.0, 0.01], 1, 0.0), (4, [0.0, 1.0, 0.0], 1, 0.0), (5, [0.0, 1.0, 0.0], 2, 0.0)]
+    rows += [(6, [1.0, 0.0], 1, 0.0), (7, [], 1, 0.0), (8, [1.0, 0.0], 1, 0.0)]
+    out = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in link_vectors(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert out == [(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (4, 2, 1, False), (5, 0, 5, True), (6, 0, 6, True), (7, 0, 7, True), (8, 0, 8, True)]
+
+
+@pytest.mark.parametrize("kind", ["double", "int", "long"])
+def test_other_kinds_of_numbers(spark, kind):
+    rows = [(i, [float(int(50 * c)) for c in v], label, 0.0) for i, v, label, _ in table(3, 120) if i is not None and usable(v)]
+    typed = spark.createDataFrame(rows, SCHEMA).withColumn("embedding", F.col("embedding").cast(f"array<{kind}>"))
+    plain = spark.createDataFrame(rows, SCHEMA)
+    for run in (link_vectors, lambda t: top_k(t, F.col("vec_id") % 20 == 0)):
+        assert sorted(map(tuple, run(typed).collect())) == sorted(map(tuple, run(plain).collect()))
+
+
 def test_links_of_no_rows(spark):
     assert link_vectors(spark.createDataFrame([], SCHEMA)).collect() == []
