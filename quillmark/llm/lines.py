@@ -36,14 +36,18 @@ def _words(digests: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(digests), ">u8").reshape(-1, 2).astype(np.uint64)
 
 
-def _held(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
+def _held(batches: Iterator[pa.RecordBatch], min_chars: int, row: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The digests of each document's lines with its id, and the row's number if asked."""
     for batch in slices(batches):
-        digests, holders = [], []
-        for i, text in zip(_ids(batch, "doc_id"), texts(batch)):
+        digests, holders, rows = [], [], []
+        numbers = batch.column(batch.schema.get_field_index(row)).to_pylist() if row else [0] * batch.num_rows
+        for i, k, text in zip(_ids(batch, "doc_id"), numbers, texts(batch)):
             found = {_digest(x, min_chars) for x in text.translate(ASCII_LOWER).split(b"\n")} - {None}
             digests += found
             holders += [i] * len(found)
-        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(holders, pa.int64())], ["digest", "holder"])
+            rows += [k] * len(found)
+        columns = [pa.array(digests, pa.binary()), pa.array(holders, pa.int64()), pa.array(rows, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns[: 3 if row else 2], ["digest", "holder", "row"][: 3 if row else 2])
 
 
 def line_index(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, shard_lines: int = 500_000) -> tuple[DataFrame, int]:
@@ -143,23 +147,26 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, b
 
 
 def _routed(docs: DataFrame, index: DataFrame, shards: int, min_chars: int, task_lines: int = 200_000) -> DataFrame:
-    """The same result with the index distributed: digests meet their shard's arrays, and each document gets its list of drops."""
-    held = settle(docs.select("doc_id", "text").mapInArrow(lambda b: _held(b, min_chars), "digest binary, holder long"))
+    """The same result with the index distributed: digests meet their shard's arrays, and each row gets its list of drops.
+
+    The rows are numbered and written once, so a row's digests come back to it alone, whatever its doc_id is.
+    """
+    rows = settle(docs.withColumn("__row", F.monotonically_increasing_id()))
+    held = settle(rows.select("doc_id", "text", "__row").mapInArrow(lambda b: _held(b, min_chars, "__row"), "digest binary, holder long, row long"))
     salts = max(1, -(-held.count() // (shards * task_lines)))
-    probes = held.withColumn("shard", _shard(F.col("digest"), shards)).withColumn("salt", F.pmod(F.xxhash64("holder"), F.lit(salts)).cast("int"))
+    probes = held.withColumn("shard", _shard(F.col("digest"), shards)).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
     copies = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
     def probe(left, right):
         if not left.num_rows or not right.num_rows:
-            return left.select(["digest", "holder"]).slice(0, 0)
-        k = right.column("shard")[0].as_py()
+            return left.select(["digest", "row"]).slice(0, 0)
         n, last = LineIndex.loads(right.column("index")[0].as_py()).find(_words(left.column("digest").to_pylist()))
-        return left.select(["digest", "holder"]).filter(pa.array((n > 0) & (last != left.column("holder").to_numpy())))
+        return left.select(["digest", "row"]).filter(pa.array((n > 0) & (last != left.column("holder").to_numpy())))
 
-    gone = probes.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInArrow(probe, "digest binary, holder long")
-    gone = gone.groupBy("holder").agg(F.collect_set("digest").alias("__gone")).withColumnRenamed("holder", "__holder")
+    gone = probes.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInArrow(probe, "digest binary, row long")
+    gone = gone.groupBy("row").agg(F.collect_set("digest").alias("__gone")).withColumnRenamed("row", "__row")
     plain, schema = _with_counts(docs)
-    joined = plain.withColumn("__holder", F.coalesce("doc_id", F.lit(NO_ID))).join(gone, "__holder", "left").drop("__holder")
+    joined = rows.drop("n_lines", "n_dropped").join(gone, "__row", "left").select(*plain.columns, "__gone")
 
     def clean(batches):
         for batch in slices(batches):
