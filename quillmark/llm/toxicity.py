@@ -19,9 +19,8 @@ WORD = re.compile(r"[^\W\d_]+")
 SHORTEST, LONGEST = 3, 8  # of the stems that stand for words not learned
 END = "$"
 CUT = 0.3  # the score from which a text counts as toxic
-# Candidates for what a token costs and the least log-odds that count; the third fold decides.
-SETTINGS = ((0.5, 0.05), (0.5, 0.2), (1.5, 0.05), (1.5, 0.1), (1.5, 0.2), (2.0, 0.05), (2.0, 0.1), (2.5, 0.1), (3.0, 0.1))
-
+# Candidates for what a token costs and for what a clean word's log-odds are multiplied by; the third fold decides.
+SETTINGS = ((0.2, 1.0), (0.5, 0.5), (0.5, 1.0), (1.0, 0.5), (1.0, 1.0), (1.5, 0.5), (2.0, 0.25), (2.0, 1.0), (2.5, 0.25))
 
 
 def stems(word: str) -> list[str]:
@@ -179,14 +178,13 @@ def _calibrated(model: ToxicityModel, scores: list[list[float]], n: list[int], y
     return ToxicityModel(model.odds, model.price, decay, rate, tuple(float(v) for v in w)), (int(((p >= CUT) != y).sum()), float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 30_000, most_stems: int = 200_000) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 30_000) -> ToxicityModel:
     """A model from about ``most`` labelled documents outside the held-out fold.
 
     Two of the three training folds give the log-odds. The third gives the extreme-value law (from its clean documents)
-    and the final line for each of SETTINGS, and the setting with the fewest texts on the wrong side
-    of ``CUT``, so none of them is fitted to texts
-    whose words were learned. At most ``most_stems`` stems, those with
-    the strongest deviation, come to the driver. Without labels of both kinds every score is the labels' share.
+    and the final line for each of SETTINGS, and the setting with the fewest texts on the wrong side of ``CUT``, so none
+    of them is fitted to texts whose words were learned. Stems that deviate from the base rate come to the driver, whose
+    number the sample bounds. Without labels of both kinds every score is the labels' share.
     """
     ship(docs.sparkSession)
     rows = settle(training_sample(docs, labels, label, most).select("doc_id", "text", "fold", "y"))
@@ -199,14 +197,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     learn = learn.groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("toxic + clean >= 4")
     share = toxic / (toxic + clean)
     z = F.abs(F.col("toxic") - (F.col("toxic") + F.col("clean")) * share) / F.sqrt((F.col("toxic") + F.col("clean")) * (share * (1 - share)))
-    found = learn.where(z >= 3.5).orderBy(z.desc(), "stem").limit(most_stems).collect()
+    found = learn.where(z >= 3.5).collect()
     odds = log_odds([(r.stem, r.toxic, r.clean) for r in found], toxic, clean)
-    candidates = [ToxicityModel({k: v for k, v in odds.items() if v >= least}, price) for least, price in SETTINGS]
+    candidates = [ToxicityModel({k: v if v > 0 else v * part for k, v in odds.items()}, price) for price, part in SETTINGS]
     seen = rows.where("fold = 3").select("doc_id", "text", "y").mapInArrow(_scanned(candidates), "doc_id long, y int, n long, scores array<array<double>>").collect()
     seen.sort(key=lambda r: (r.doc_id, r.y, r.n))
     y = np.array([r.y for r in seen], np.float64)
     if not len(y) or y.min() == y.max():
-        m = candidates[SETTINGS.index((2.0, 0.1))]
+        m = candidates[SETTINGS.index((1.0, 1.0))]
         return ToxicityModel(m.odds, m.price, line=(float(np.log(share / (1 - share))), 0.0, 2.0))
     fitted = [_calibrated(m, [r.scores[k] for r in seen], [r.n for r in seen], y) for k, m in enumerate(candidates)]
     return min(fitted, key=lambda x: x[1])[0]
