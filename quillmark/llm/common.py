@@ -123,6 +123,20 @@ def lower_words(text: bytes) -> list[bytes]:
     return text.translate(ASCII_LOWER).split()
 
 
+_BLANK = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def word_blocks(text: bytes, limit: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The same words in turn, from about ``limit`` bytes of the text at a time; it is cut at white space. No list is empty."""
+    at = 0
+    while at < len(text):
+        stop = _BLANK.search(text, at + limit)
+        to = stop.start() if stop else len(text)
+        if words := lower_words(text[at:to]):
+            yield words
+        at = to
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words whose low bits depend on all bits (splitmix finaliser)."""
     x = x ^ (x >> np.uint64(30))

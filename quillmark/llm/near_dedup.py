@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import components, kept, lower_words, mix64, only, scratch, ship, slices, texts
+from quillmark.llm.common import components, kept, mix64, only, scratch, ship, slices, texts, word_blocks
 
 WORDS = 5  # of a shingle
 CHUNKS, WIDTH = 8, 4  # the signature's 32 symbols of 16 bits; a chunk may have one error
@@ -23,23 +23,27 @@ _TURNS = (mix64(np.arange(100, 100 + FINE, dtype=np.uint64)) >> np.uint64(32)).a
 _FLIPS = (mix64(np.arange(9000, 9000 + FINE, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
-def shingles(words: list[bytes], size: int = WORDS) -> np.ndarray:
-    """Distinct 64-bit hashes of the shingles, sorted; with fewer words than a shingle has, of the whole sequence as one."""
-    if not words:
-        return np.zeros(0, np.uint64)
+def _hashed(words: list[bytes]) -> np.ndarray:
     new = set(words).difference(_WORDS)
     if new:
         if len(_WORDS) > 300_000:
             _WORDS.clear()
             new = set(words)
         _WORDS.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+
+
+def shingles(text: bytes, size: int = WORDS) -> np.ndarray:
+    """Distinct 64-bit hashes of the text's shingles, sorted; with fewer words than a shingle has, of the whole sequence as one."""
+    h = np.concatenate([np.zeros(0, np.uint64), *map(_hashed, word_blocks(text))])
+    if not len(h):
+        return h
     n = len(h) - size + 1
     if n < 1:
         return mix64(np.array([(h * _POWERS[: len(h)]).sum() + np.uint64(len(h))], np.uint64))
     total = h[:n] * _POWERS[0]
     for k in range(1, size):
-        total = total + h[k : k + n] * _POWERS[k]
+        total += h[k : k + n] * _POWERS[k]
     return np.unique(mix64(total))
 
 
@@ -94,7 +98,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         n, digests, signatures = [], [], []
         for text in texts(batch):
-            h = shingles(lower_words(text))
+            h = shingles(text)
             n.append(len(h))
             digests.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
             signatures.append(coarse(h) if len(h) else None)
@@ -114,7 +118,7 @@ def _detailed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         rows = []
         for i, digest, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), texts(batch)):
-            h = shingles(lower_words(text))
+            h = shingles(text)
             if len(h) and xxhash.xxh3_128_digest(h.tobytes()) == digest:
                 rows.append((i, coarse(h) + fine(h), h.tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["id", "sketch", "hashes"])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -13,14 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillmark.llm.common import ASCII_LOWER, kept, only, scratch, ship, slices, texts, trim
+from quillmark.llm.common import kept, only, scratch, ship, slices, texts, trim, word_blocks
 
 ORDER = 5
 END = b"\n"
 SLOTS = 1 << 20
 BATCH = 1 << 20  # bytes of text; arrays of one batch take some sixty times as much
 ALPHABET = 256
-_BLANK = re.compile(rb"[\x20\x09-\x0d]")
 
 
 def stretches(text: bytes, order: int, limit: int = BATCH) -> Iterator[tuple[list[bytes], list[bytes]]]:
@@ -30,14 +28,8 @@ def stretches(text: bytes, order: int, limit: int = BATCH) -> Iterator[tuple[lis
     stretches of ``limit`` bytes, the last one shorter, each behind the ``order`` bytes before it; before the first word
     stand end marks. The end mark is the last word.
     """
-    held, begun, at = END * order, False, 0
-    while at < len(text):
-        stop = _BLANK.search(text, at + limit)
-        to = stop.start() if stop else len(text)
-        words = text[at:to].translate(ASCII_LOWER).split()
-        at = to
-        if not words:
-            continue
+    held, begun = END * order, False
+    for words in word_blocks(text, limit):
         held += b" " * begun + b" ".join(words)
         begun, out = True, []
         while len(held) > limit + order:

@@ -40,11 +40,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixed(docs: DataFrame, keep: float = 0.7) -> DataFrame:
     """``docs`` with tokens, topic, probability and kept: sources tempered to the power 0.5, languages to 0.7, topics to equal shares."""
-    sized = mixing.measured(docs)
-    small = sized.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("n_tokens")).persist()
-    margins = [mixing.Margin(c, mixing.tempered(mixing.category_totals(small, c), p)) for c, p in (("source", 0.5), ("lang", 0.7), ("topic", 0.0))]
-    small.unpersist()
-    return mixing.mix(sized, margins, keep)
+    return mixing.mix(mixing.measured(docs), [mixing.Margin(c, power=p) for c, p in (("source", 0.5), ("lang", 0.7), ("topic", 0.0))], keep)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -224,20 +224,89 @@ def test_rake_lets_every_cell_be_drawn_where_one_source_has_a_third(hot):
 
 def test_mixing_tempers_each_of_many_sources_by_itself(spark):
     rows = [(i, "kara " * (100 + i % 37 * 9), "en", f"src{i}", 0, 1.0, False, -1) for i in range(400)]
-    sized = mixing.measured(frame(spark, rows))
-    totals = mixing.category_totals(sized, "source")
-    assert totals == {f"src{i}": 100 + i % 37 * 9 for i in range(400)}
-    out = mixing.mix(sized, [mixing.Margin("source", mixing.tempered(totals, 0.5))], 0.4).collect()
+    out = mixing.mix(mixing.measured(frame(spark, rows)), [mixing.Margin("source", power=0.5)], 0.4).collect()
+    assert {r.source: r.n_tokens for r in out} == {f"src{i}": 100 + i % 37 * 9 for i in range(400)}
     roots = sum(r.n_tokens**0.5 for r in out)
     for r in out:
-        assert r.probability * r.n_tokens == pytest.approx(0.4 * sum(totals.values()) * r.n_tokens**0.5 / roots, rel=1e-6)
+        assert r.probability * r.n_tokens == pytest.approx(0.4 * sum(x.n_tokens for x in out) * r.n_tokens**0.5 / roots, rel=1e-6)
+
+
+def plain_rake(cells, margins, budget):
+    """The rule of raking over dictionaries, a cell at a time: margins[m](cell) names the cell's category, targets[m] its share."""
+    total, even = sum(cells.values()), budget / sum(cells.values())
+    weight, least, aims = {c: n * even for c, n in cells.items()}, {c: n * even * mixing.LEAST for c, n in cells.items()}, []
+    for name, shares in margins:
+        supply = Counter()
+        for c, n in cells.items():
+            supply[name(c)] += n
+        aim = {k: shares[k] * budget for k in supply}
+        for _ in aim:
+            full = {k for k in aim if aim[k] >= supply[k]}
+            aim = {k: supply[k] if k in full else v for k, v in aim.items()}
+            room, missing = sum(v for k, v in aim.items() if k not in full), budget - sum(aim.values())
+            if missing <= 1e-12 * budget or not room:
+                break
+            aim = {k: v if k in full else v * (1 + missing / room) for k, v in aim.items()}
+        aim = {k: min(v, supply[k]) for k, v in aim.items()}
+        aims.append(aim)
+        least = {c: v * min(1, aim[name(c)] / (supply[name(c)] * even)) for c, v in least.items()}
+    for _ in range(500):
+        for (name, _), aim in zip(margins, aims):
+            have, free = Counter(), Counter()
+            for c, w in weight.items():
+                have[name(c)] += w
+                free[name(c)] += w if w < cells[c] else 0
+            for c, w in weight.items():
+                k = name(c)
+                if w < cells[c]:
+                    w *= max(aim[k] - (have[k] - free[k]), 0) / free[k]
+                elif have[k] > aim[k]:
+                    w *= aim[k] / have[k]
+                weight[c] = min(max(w, least[c]), cells[c])
+    return {c: w / cells[c] for c, w in weight.items()}
+
+
+def test_mixing_equals_brute_force(spark):
+    rng = random.Random(2)
+    rows = [(i, "kara " * rng.randint(1, 60), rng.choice(["en", "en", "de", None]), rng.choice(["a", "a", "a", "b", "c"]), 0, 1.0, False, -1) for i in range(300)]
+    cells = Counter()
+    for _, t, lang, source, *_ in rows:
+        cells[source, lang or mixing.NONE] += len(t.split())
+    shares = []
+    for at, power in ((0, 0.5), (1, 0.0)):
+        raised = Counter()
+        for c, n in cells.items():
+            raised[c[at]] += n
+        raised = {k: v**power for k, v in raised.items()}
+        shares.append({k: v / sum(raised.values()) for k, v in raised.items()})
+    wanted = plain_rake(dict(cells), [(lambda c: c[0], shares[0]), (lambda c: c[1], shares[1])], 0.6 * sum(cells.values()))
+    out = mixing.mix(mixing.measured(frame(spark, rows)), [mixing.Margin("source", power=0.5), mixing.Margin("lang", power=0.0)], 0.6)
+    drawn = F.shiftrightunsigned(F.xxhash64(F.lit(29), "doc_id", F.xxhash64("text")), 11) / 2.0**53
+    rows = out.withColumn("drawn", drawn).collect()
+    for r in rows:
+        assert r.probability == pytest.approx(wanted[r.source, r.lang or mixing.NONE], abs=1e-6)
+        assert r.kept == (r.drawn < r.probability)
+    assert sum(r.n_tokens for r in rows if r.kept) / sum(r.n_tokens for r in rows) == pytest.approx(0.6, abs=0.08)
+
+
+def test_topics_are_clusters_of_vocabulary(spark):
+    rng = random.Random(6)
+    vocabularies = [[f"{stem}{k:03d}" for k in range(60)] for stem in ("garden", "engine", "violin", "harbor")]
+    rows = [(i, " ".join(rng.choice(vocabularies[i % 4]) for _ in range(rng.randint(30, 80))), None, None, 0, 0.0, None, 0) for i in range(200)]
+    rows += [(1000, None, None, None, 0, 0.0, None, 0), (1001, "a b c", None, None, 0, 0.0, None, 0)]
+    found = [{r.doc_id: r.topic for r in mixing.measured(frame(spark, rows).repartition(n), topics=4).collect()} for n in (1, 5)]
+    assert found[0] == found[1] and found[0][1000] == found[0][1001] == "topic0"
+    groups = [{found[0][i] for i in range(k, 200, 4)} for k in range(4)]
+    assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 4
+    own = mixing.measured(frame(spark, rows).withColumn("topic", F.when(F.col("doc_id") % 2 == 0, "news")))
+    assert {(r.doc_id % 2, r.topic) for r in own.collect()} == {(0, "news"), (1, None)}
 
 
 def test_mixing_keeps_every_row_and_draws_alike(spark):
     rows = corpus() * 2
     sized = mixing.measured(frame(spark, rows))
     assert {r.doc_id: r.n_tokens for r in sized.collect() if r.doc_id is not None} == {i: len((t or "").encode().split()) for i, t, *_ in rows if i is not None}
-    margins = [mixing.Margin("source", {"src0": 0.5, "src1": 0.3, mixing.OTHER: 0.2}), mixing.Margin("lang", mixing.tempered(mixing.category_totals(sized, "lang"), 0.5))]
+    margins = [mixing.Margin("source", {"src0": 0.5, "src1": 0.3, mixing.OTHER: 0.2}), mixing.Margin("lang", power=0.5)]
     out = mixing.mix(sized, margins, 0.5).collect()
     assert len(out) == len(rows) and all(0 <= r.probability <= 1 for r in out)
     drawn = {}
@@ -250,6 +319,107 @@ def test_mixing_keeps_every_row_and_draws_alike(spark):
     assert mixing.mix(mixing.measured(frame(spark, [])), margins, 0.5).collect() == []
 
 
+def test_ranking_weights_and_cut_by_brute_force():
+    rng = np.random.default_rng(5)
+    y = (rng.random(400) < 0.7).astype(int)
+    x = rng.normal(size=(400, len(quality.FEATURES))) + y[:, None] * np.linspace(0, 1, len(quality.FEATURES))
+    model = quality.fit(x, y)
+    z = np.clip((x - x.mean(0)) / x.std(0), -6, 6)
+    z = np.concatenate([z, z**2], 1)
+    better, worse = quality.preference_pairs(y, 20)
+    assert (y[better] == 1).all() and (y[worse] == 0).all() and set(worse) == set(np.flatnonzero(y == 0)) and set(better) == set(np.flatnonzero(y == 1))
+
+    def loss(w):
+        return np.log1p(np.exp(-(z[better] - z[worse]) @ w)).mean() + 1e-4 / 2 * w @ w
+
+    w = np.array(model.weights)
+    for k in range(len(w)):
+        step = np.zeros(len(w))
+        step[k] = 1e-3
+        assert loss(w) <= min(loss(w + step), loss(w - step)) + 1e-12
+    s = z @ w
+    assert (s < model.cut).sum() == (y == 0).sum() and ((model.scores(x) >= 0.7) == (s >= model.cut)).all()
+
+
+def test_features_of_a_text_by_hand():
+    named = dict(zip(quality.FEATURES, quality.features(b"Aa bb, bb!! 1 XYZ\n\nbb.")))
+    assert named["log words"] == pytest.approx(math.log(7)) and named["words in upper case"] == pytest.approx(math.sqrt(1 / 6))
+    assert named["words without letters"] == pytest.approx(math.sqrt(1 / 6)) and named["distinct words"] == 1.0
+    assert named["digits"] == pytest.approx(math.sqrt(1 / 16)) and named["sentence ends"] == pytest.approx(math.sqrt(2 / 6))
+
+
+def test_log_odds_have_the_shorter_stems_posterior_as_prior():
+    rows = [("vil", 30, 2), ("vile$", 20, 0), ("kar", 3, 400), ("kara$", 2, 300), ("new$", 5, 5)]
+    odds = toxicity.log_odds(rows, 100, 900)
+    base = 100.5 / 1001
+    first = (30 + 4 * base) / 36
+    second = (20 + 4 * first) / 24
+    logit = lambda p: math.log(p / (1 - p))
+    assert odds["vil"] == pytest.approx(logit(first) - logit(base)) and odds["vile$"] == pytest.approx(logit(second) - logit(base))
+    assert odds["kar"] == pytest.approx(max(-2, logit((3 + 4 * base) / 407) - logit(base))) and odds["kar"] < 0
+
+
+def test_scores_of_long_and_repeated_texts(spark):
+    docs, labels = toxic_corpus(400)
+    long = " ".join(docs[1][1] for _ in range(20_000))
+    rows = [*docs, (6000, long, None, None, 0, 0.0, None, 0), (6001, long + " vilestone vilesand grumble vilestone", None, None, 0, 0.0, None, 0), docs[0], docs[0]]
+    table = spark.createDataFrame(labels, LABELS)
+    toxic = toxicity.score(frame(spark, rows), toxicity.train(frame(spark, docs), table)).collect()
+    good = quality.score(frame(spark, rows), quality.train(frame(spark, docs), table)).collect()
+    for out in (toxic, good):
+        assert len(out) == len(rows) and len({r.score for r in out if r.doc_id == docs[0][0]}) == 1
+    by = {r.doc_id: r for r in toxic}
+    assert by[6001].score > by[6000].score and any(p.first == 480_000 for p in by[6001].passages)
+
+
+@pytest.mark.parametrize("name", ["quality classifier", "line dedup", "near-dedup", "mixing"])
+def test_stages_keep_odd_rows_and_the_tables_own_columns(spark, sf_dir, name):
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)[name]
+    rows = [(*r[:6], "mine", 17) for r in corpus()]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, probability double, kept string, n_dropped long"
+    more = {"n_lines": F.lit(5), "Topic": F.lit("x"), "score": F.lit(2.0), "n_tokens": F.lit("many"), "component_id": F.col("doc_id"), "n": F.lit(1)}
+    docs = spark.createDataFrame(rows + rows[5:9], schema).withColumns(more).repartition(3)
+    out = stage(spark, docs, sf_dir)
+    assert out.columns == docs.columns and [t for _, t in out.dtypes] == [t for _, t in docs.dtypes]
+    before = {(r.doc_id, r.text): r for r in docs.collect()}
+    found = out.collect()
+    for r in found:
+        own = before.get((r.doc_id, r.text)) or next(x for (i, _), x in before.items() if i == r.doc_id)
+        assert [r[c] for c in out.columns if c not in ("text", "n_chars")] == [own[c] for c in out.columns if c not in ("text", "n_chars")]
+    if name == "line dedup":
+        assert len(found) == docs.count() and all(r.n_chars == len(r.text) for r in found)
+    if name == "near-dedup":
+        ids = [r.doc_id for r in found if r.doc_id is not None]
+        assert len(ids) == len(set(ids)) and sum(r.doc_id is None for r in found) == 1 and {33, 36, 39} <= set(ids)
+    assert stage(spark, docs.where("false"), sf_dir).collect() == []
+
+
+def test_every_query_has_its_columns_and_folds(spark, sf_dir):
+    from quillmark.llm.queries import queries
+
+    columns = {
+        "op1_toxicity": {"doc_id", "held_out", "score", "predicted"}, "op2_lm_scoring": {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"},
+        "op3_near_dedup": {"doc_id", "n_shingles", "component_id", "kept"}, "op4_line_dedup": {"doc_id", "n_lines", "n_dropped", "kept_sha256"}, "op5_mixing": {"doc_id", "probability", "kept"},
+        "op6_top_k": {"query_id", "rank", "vec_id", "score"}, "op7_token_shards": {"doc_id", "start", "n_tokens", "ids_crc32"}, "op8_embedding_dedup": {"vec_id", "n_links", "component_id", "kept"},
+        "op9_quality": {"doc_id", "held_out", "score", "predicted"}, "op10_packing": {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"},
+    }
+    assert set(queries()) == set(columns)
+    ids = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()}
+    for name, run in queries().items():
+        out = run(spark, sf_dir)
+        assert columns[name] <= set(out.columns)
+        rows = out.collect()
+        if "doc_id" in out.columns:
+            assert {r.doc_id for r in rows} == ids
+        if "predicted" in out.columns:
+            cut = {"op1_toxicity": 0.3, "op9_quality": 0.7}[name]
+            assert len(rows) == len(ids) and all(r.held_out == (crc32_of_id(r.doc_id) % 4 == 2) and r.predicted == (r.score >= cut) and 0 <= r.score <= 1 for r in rows)
+        if name == "op2_lm_scoring":
+            assert all(r.held_out == (crc32_of_id(r.doc_id) % 10 == 0) for r in rows) and len({r.train_tokens for r in rows}) == 1
+
+
 def test_pipeline_stages_follow_brute_force(spark, sf_dir, tmp_path):
     import corpus_pipeline
     from tests.llm.test_lines import brute as lines_brute
