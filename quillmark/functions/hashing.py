@@ -41,23 +41,3 @@ def buckets_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 def units_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2")
-
-
-def char_buckets(text: str, n: int, buckets: int, typed: bool) -> np.ndarray:
-    """Buckets of a text's character n-grams; typed keeps those with a mark or space, or at the edge of a word."""
-    units = units_of(text)
-    at = buckets_of(gram_hashes(units, n), buckets)
-    if typed and len(at):
-        word = alnum()[units]
-        other = np.concatenate(([0], np.cumsum(~word)))
-        inside = other[n : n + len(at)] - other[: len(at)] > 0
-        before = np.concatenate(([False], word[:-1]))[: len(at)]
-        after = np.concatenate((word[n:], [False]))[: len(at)]
-        at = at[inside | ~before | ~after]
-    return at
-
-
-def profile(at: np.ndarray, buckets: int, total: int | None = None) -> np.ndarray:
-    """Shares by bucket; all zero without n-grams."""
-    total = len(at) if total is None else total
-    return np.bincount(at, minlength=buckets) / total if total else np.zeros(buckets)

@@ -56,9 +56,15 @@ def bare_length(x: Column) -> Column:
     return F.length(F.replace(x, F.lit("'"), F.lit("")))
 
 
-def word_counts(words: Column) -> Column:
-    """Counts of the distinct words."""
-    return F.transform(F.array_distinct(words), lambda x: F.size(F.filter(words, lambda y: y == x)))
+def with_word_counts(rows: DataFrame) -> DataFrame:
+    """``rows`` with __counts, the counts of the distinct lower words: the lengths of the runs of the sorted array.
+
+    Each step is a column of its own, so that no array is made again for each of its elements.
+    """
+    ordered, ends = F.col("__ordered"), F.col("__ends")
+    last = F.transform(ordered, lambda x, i: F.when((i + 1 == F.size(ordered)) | (F.get(ordered, i + 1) != x), i + 1))
+    rows = rows.withColumn("__ordered", F.array_sort(lw())).withColumn("__ends", F.array_compact(last))
+    return rows.withColumn("__counts", F.transform(ends, lambda e, k: e - F.when(k == 0, 0).otherwise(F.get(ends, k - 1))))
 
 
 LENGTHS = {"wl_1_2": (0, 2), "wl_3_4": (3, 4), "wl_5_6": (5, 6), "wl_7_8": (7, 8), "wl_9_10": (9, 10), "wl_11_plus": (11, 10**6)}
@@ -101,17 +107,16 @@ def readability_group() -> dict[str, Column]:
 
 
 def punctuation_group() -> dict[str, Column]:
-    listed = "".join("\\" + m if m in "[]-" else m for m in MARKS)
     kinds = sum(((F.instr(t(), m) > 0).cast("int") for m in MARKS), F.lit(0))
-    return {"punctuation_density": X.chars_of(t(), listed) / per_char(), "punctuation_variety": kinds / F.lit(len(MARKS))}
+    return {"punctuation_density": X.these(t(), "".join(MARKS)) / per_char(), "punctuation_variety": kinds / F.lit(len(MARKS))}
 
 
 def marks_group() -> dict[str, Column]:
     rate = lambda count: count / per_token()
+    these = lambda characters: rate(X.these(t(), characters))
     return {
-        "comma_rate": rate(X.chars_of(t(), ",")), "period_rate": rate(X.dot_runs(t(), True)), "semicolon_rate": rate(X.chars_of(t(), ";")), "colon_rate": rate(X.chars_of(t(), ":")),
-        "exclamation_rate": rate(X.chars_of(t(), "!")), "question_rate": rate(X.chars_of(t(), "?")), "quote_rate": rate(X.chars_of(t(), '"“”«»')), "apostrophe_rate": rate(X.chars_of(t(), "'‘")),
-        "bracket_rate": rate(X.chars_of(t(), r"()\[\]{}")), "dash_rate": rate(X.chars_of(t(), r"\-–—―")), "ellipsis_rate": rate(X.dot_runs(t(), False) + X.chars_of(t(), "…")),
+        "comma_rate": these(","), "period_rate": rate(X.dot_runs(t(), True)), "semicolon_rate": these(";"), "colon_rate": these(":"), "exclamation_rate": these("!"), "question_rate": these("?"),
+        "quote_rate": these('"“”«»'), "apostrophe_rate": these("'‘"), "bracket_rate": these("()[]{}"), "dash_rate": these("-–—―"), "ellipsis_rate": rate(X.dot_runs(t(), False) + X.these(t(), "…")),
         "repeated_punct_rate": rate(X.count_of(t(), r"!{2,}|\?{2,}|,{2,}|;{2,}|:{2,}")),
     }
 
@@ -172,15 +177,17 @@ GROUPS = {
 }
 
 
-def measured(sentences: DataFrame, groups: list[str] | None = None, casing: str = "preserve", frequent: list[str] | None = None, keep: tuple[str, ...] = ("doc_id", "sent_idx")) -> DataFrame:
-    """The named groups' scalars of every sentence; intermediate arrays are computed once a row."""
-    s = prepared(sentences, casing)
-    names = list(GROUPS) if groups is None else groups
-    if "diversity" in names:
-        s = s.withColumn("__counts", word_counts(lw()))
-    if "readability" in names:
+def columns(prepared_: DataFrame, groups: list[str], frequent: list[str], keep: tuple[str, ...]) -> DataFrame:
+    """The named groups' scalars of prepared sentences; intermediate arrays are computed once a row."""
+    s = with_word_counts(prepared_) if "diversity" in groups else prepared_
+    if "readability" in groups:
         s = s.withColumn("__syllables", F.transform("w", X.syllables))
-    columns: dict[str, Column] = {}
-    for g in names:
-        columns |= frequency_group(frequent or []) if g == "frequency" else GROUPS[g]()
-    return s.select(*keep, *[c.cast("double").alias(k) for k, c in columns.items()])
+    found: dict[str, Column] = {}
+    for g in groups:
+        found |= frequency_group(frequent) if g == "frequency" else GROUPS[g]()
+    return s.select(*keep, *[c.cast("double").alias(k) for k, c in found.items()])
+
+
+def measured(sentences: DataFrame, groups: list[str] | None = None, casing: str = "preserve", frequent: list[str] | None = None, keep: tuple[str, ...] = ("doc_id", "sent_idx")) -> DataFrame:
+    """The named groups' scalars of every sentence."""
+    return columns(prepared(sentences, casing), list(GROUPS) if groups is None else groups, frequent or [], keep)

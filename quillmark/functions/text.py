@@ -59,6 +59,11 @@ def chars_of(x: Column, kept: str) -> Column:
     return F.length(F.regexp_replace(x, f"[^{kept}]", ""))
 
 
+def these(x: Column, characters: str) -> Column:
+    """How many of the listed characters a text has."""
+    return F.length(x) - F.length(F.translate(x, characters, ""))
+
+
 def dot_runs(x: Column, alone: bool) -> Column:
     """Maximal runs of full stops: of length one, or longer."""
     runs = F.regexp_extract_all(x, F.lit(r"(\.+)"), F.lit(1))

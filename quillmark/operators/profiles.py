@@ -10,38 +10,87 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmark.functions.hashing import buckets_of, char_buckets, gram_hashes, profile
+from quillmark.functions.hashing import alnum, buckets_of, gram_hashes, units_of
 from quillmark.functions.lexicon import FUNCTION_WORDS
 from quillmark.functions.scalars import word_parts
 
+ROWS = 2000  # of a batch; their shares are held at once
 
-def _with_column(df: DataFrame, name: str, source: str, make) -> DataFrame:
-    """``df`` with an array column made from one column, batch by batch."""
+
+def _with_profile(df: DataFrame, name: str, source: str, buckets: int, make) -> DataFrame:
+    """``df`` with an array column of ``buckets`` shares. ``make`` gives, for all values of a batch at once, the row and the
+    bucket of each thing counted, and each row's total."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = {f: batch.column(k) for k, f in enumerate(batch.schema.names)}
-            columns[name] = pa.array([make(x) for x in columns[source].to_pylist()], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_pydict(columns)
+        for whole in batches:
+            for i in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(i, ROWS)
+                row, bucket, totals = make(batch.column(batch.schema.get_field_index(source)))
+                counts = np.bincount(row * buckets + bucket, minlength=batch.num_rows * buckets).reshape(batch.num_rows, buckets)
+                shares = counts / np.maximum(totals, 1)[:, None]
+                offsets = pa.array(np.arange(0, batch.num_rows * buckets + 1, buckets), pa.int32())
+                columns = {f: batch.column(k) for k, f in enumerate(batch.schema.names)}
+                yield pa.RecordBatch.from_pydict(columns | {name: pa.ListArray.from_arrays(offsets, pa.array(shares.ravel()))})
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))]))
+    fields = [f for f in df.schema.fields if f.name != name]
+    return df.drop(name).mapInArrow(run, T.StructType([*fields, T.StructField(name, T.ArrayType(T.DoubleType()))]))
 
 
 def char_profile(df: DataFrame, n: int = 3, buckets: int = 256, typed: bool = False, text: str = "sentence", name: str = "profile") -> DataFrame:
-    return _with_column(df, name, text, lambda x: profile(char_buckets(x or "", n, buckets, typed), buckets).tolist())
+    """Shares of hashed character n-grams. typed keeps those with a mark or space, or at the edge of a word. A null text has none."""
+
+    def make(column: pa.Array):
+        parts = [units_of(x or "") for x in column.to_pylist()]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        units = np.concatenate([np.zeros(0, "<u2"), *parts])
+        ends = np.repeat(np.cumsum(sizes), sizes)
+        row = np.repeat(np.arange(len(parts)), sizes)
+        at = np.arange(len(units))
+        whole = at + n <= ends
+        if typed and len(units):
+            word = np.concatenate((alnum()[units], [False]))
+            other = np.concatenate(([0], np.cumsum(~word)))
+            first = at == (ends - sizes[row])
+            last = at + n == ends
+            stop = np.minimum(at + n, len(units))
+            whole &= (other[stop] - other[at] > 0) | first | ~word[at - 1] | last | ~word[stop]
+        at = at[whole]
+        return row[at], buckets_of(gram_hashes(units, n)[at], buckets), np.bincount(row[at], minlength=len(parts))
+
+    return _with_profile(df, name, text, buckets, make)
 
 
 def tag_profile(df: DataFrame, n: int = 2, buckets: int = 128, tags: str = "tags", name: str = "profile", kinds: int = 15) -> DataFrame:
     """Of tag n-grams; for n = 1 the tags' own shares, else with marks for begin and end, each unit one more than its tag."""
 
-    def make(row) -> list[float]:
-        own = np.array(row or [], np.int64)
+    def make(column: pa.Array):
+        rows = [[] if x is None else x for x in column.to_pylist()]
         if n == 1:
-            return profile(own[own < buckets], buckets, len(own)).tolist()
-        padded = np.concatenate(([kinds], own, [kinds + 1])) + 1
-        return profile(buckets_of(gram_hashes(padded, n), buckets), buckets).tolist()
+            own, row = np.array([t for r in rows for t in r], np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+            return row[own < buckets], own[own < buckets], np.array([len(r) for r in rows])
+        units = np.array([u for r in rows for u in (kinds + 1, *(t + 1 for t in r), kinds + 2)], np.uint32)
+        sizes = np.array([len(r) + 2 for r in rows], np.int64)
+        row, at = np.repeat(np.arange(len(rows)), sizes), np.arange(len(units))
+        at = at[at + n <= np.repeat(np.cumsum(sizes), sizes)]
+        return row[at], buckets_of(gram_hashes(units, n)[at], buckets), np.bincount(row[at], minlength=len(rows))
+
+    return _with_profile(df, name, tags, buckets, make)
+
+
+def function_word_parts(listed: tuple[str, ...] = FUNCTION_WORDS) -> Column:
+    """Of a prepared sentence: the listed words found, contractions split, and how many words it has."""
+    return F.struct(F.flatten(F.transform("lw", lambda x: word_parts(x, listed))).alias("parts"), F.col("n_w").alias("n"))
+
+
+def function_word_profile(df: DataFrame, listed: tuple[str, ...] = FUNCTION_WORDS, source: str = "__fw", name: str = "fw") -> DataFrame:
+    """The share of each listed word among a sentence's words, a bucket each, from ``function_word_parts``."""
+    place = {w: k for k, w in enumerate(listed)}
+
+    def make(column: pa.Array):
+        rows = column.to_pylist()
+        return np.repeat(np.arange(len(rows)), [len(r["parts"]) for r in rows]), np.array([place[w] for r in rows for w in r["parts"]], np.int64), np.array([r["n"] for r in rows])
 
-    return _with_column(df, name, tags, make)
+    return _with_profile(df, name, source, len(listed), make)
 
 
 def function_words(prepared: DataFrame, *keys: str, listed: tuple[str, ...] = FUNCTION_WORDS) -> DataFrame:

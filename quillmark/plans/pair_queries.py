@@ -12,9 +12,8 @@ from quillmark.plans.sentence_queries import HEAD, LISTED, SQL
 from quillmark.sources.readers import sentences, table
 
 BUCKETS = 16
-NUDGE = 1e-9  # shares of small counts end in a five at the seventh digit; this rounds them one way in both engines
-SCALED = ("log_word_count", "log_char_count", "comma_rate", "period_rate", "uppercase_ratio", "type_token_ratio")
-GROUPS = ["length", "marks", "orthography", "diversity"]
+GROUPS = list(SQL)
+SCALED = tuple(c for g in GROUPS for c in SQL[g])  # all scalars that the SQL has
 
 
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,22 +36,21 @@ TYPED = r"""grams AS (SELECT doc_id, sent_idx, sentence, g FROM sents, unnest(ra
   WHERE regexp_matches(substr(sentence, g, 3), '[^\p{L}\p{Nd}]') OR g = 1 OR g + 2 = length(sentence)
     OR regexp_matches(substr(sentence, g - 1, 1), '[^\p{L}\p{Nd}]') OR regexp_matches(substr(sentence, g + 3, 1), '[^\p{L}\p{Nd}]'))"""
 COUNTED = "ct AS (SELECT doc_id, sent_idx, bucket, count(*) AS c FROM b GROUP BY ALL), sh AS (SELECT doc_id, sent_idx, bucket, c / sum(c) OVER (PARTITION BY doc_id, sent_idx) AS p FROM ct)"
-SHARES = "SELECT doc_id, sent_idx, bucket, round(p + 1e-9, 6) AS share FROM sh"
+SHARES = "SELECT doc_id, sent_idx, bucket, p AS share FROM sh"
 
 
 def _long(profiled: DataFrame) -> DataFrame:
-    long = profiled.select("doc_id", "sent_idx", F.posexplode("profile").alias("bucket", "share")).where("share > 0")
-    return long.withColumn("share", F.col("share") + NUDGE)
+    return profiled.select("doc_id", "sent_idx", F.posexplode("profile").alias("bucket", "share")).where("share > 0")
 
 
 @query(f"WITH {SENTS}, {GRAMS}, {HASHED}, {COUNTED} {SHARES}")
 def profile_char(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_long(profiles.char_profile(_sentences(spark, sf_dir), 3, BUCKETS)))
+    return _long(profiles.char_profile(_sentences(spark, sf_dir), 3, BUCKETS))
 
 
 @query(f"WITH {SENTS}, {TYPED}, {HASHED}, {COUNTED} {SHARES}")
 def profile_char_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_long(profiles.char_profile(_sentences(spark, sf_dir), 3, BUCKETS, typed=True)))
+    return _long(profiles.char_profile(_sentences(spark, sf_dir), 3, BUCKETS, typed=True))
 
 
 @query(f"""WITH {PREP}, parts AS (SELECT doc_id, sent_idx, n_w, unnest(flatten(list_transform(lw, lambda x:
@@ -71,10 +69,10 @@ Z = "z AS (SELECT doc_id, sent_idx, " + ", ".join(f"least(greatest(({c} - m_{c})
 NEXT = "nx AS (SELECT doc_id, sent_idx, " + ", ".join(f"{p}{c} AS a_{p}{c}, lead({p}{c}) OVER o AS b_{p}{c}" for c in SCALED for p in ("", "raw_")) + ", lead(sent_idx) OVER o AS nx FROM z WINDOW o AS (PARTITION BY doc_id ORDER BY sent_idx))"
 
 
-@query(f"WITH {VECTORS}, {STATS} " + " UNION ALL ".join(f"SELECT '{c}' AS scalar, round(m_{c}, 6) AS mean, round(s_{c}, 6) AS deviation FROM st" for c in SCALED))
+@query(f"WITH {VECTORS}, {STATS} " + " UNION ALL ".join(f"SELECT '{c}' AS scalar, round(m_{c}, 4) AS mean, round(s_{c}, 4) AS deviation FROM st" for c in SCALED))
 def scaler_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     fitted = pairs.fit_scaler(_vectors(spark, sf_dir), list(SCALED))
-    return rounded(spark.createDataFrame([(c, m, s) for c, (m, s) in fitted.items()], "scalar string, mean double, deviation double"))
+    return rounded(spark.createDataFrame([(c, m, s) for c, (m, s) in fitted.items()], "scalar string, mean double, deviation double"), 4)
 
 
 def _scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,9 +81,9 @@ def _scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("doc_id", "sent_idx", *[pairs.zscore(c, fitted[c]).alias(c) for c in SCALED], *[F.col(c).alias(f"raw_{c}") for c in SCALED])
 
 
-@query(f"WITH {VECTORS}, {STATS}, {Z} SELECT doc_id, sent_idx, {', '.join(f'round({c}, 6) AS {c}' for c in SCALED)} FROM z")
+@query(f"WITH {VECTORS}, {STATS}, {Z} SELECT doc_id, sent_idx, {', '.join(f'round({c}, 4) AS {c}' for c in SCALED)} FROM z")
 def zscores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_scaled(spark, sf_dir).select("doc_id", "sent_idx", *SCALED))
+    return rounded(_scaled(spark, sf_dir).select("doc_id", "sent_idx", *SCALED), 4)
 
 
 FORMS = {
@@ -96,13 +94,13 @@ FORMS = {
 
 
 def _register(representation: str) -> None:
-    columns = ", ".join(f"round({x.format(c=c)}, 6) AS {k}_{c}" for c in SCALED for k, x in FORMS[representation].items())
+    columns = ", ".join(f"round({x.format(c=c)}, 4) AS {k}_{c}" for c in SCALED for k, x in FORMS[representation].items())
 
     @query(f"WITH {VECTORS}, {STATS}, {Z}, {NEXT} SELECT doc_id, sent_idx, {columns} FROM nx WHERE nx IS NOT NULL", name=f"pairs_{representation.lower()}")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         near = pairs.neighbours(_scaled(spark, sf_dir), [*SCALED, *(f"raw_{c}" for c in SCALED)])
         parts = {k: v for c in SCALED for k, v in pairs.represented(c, representation).items()}
-        return rounded(near.select("doc_id", "sent_idx", *[v.alias(k) for k, v in parts.items()]))
+        return rounded(near.select("doc_id", "sent_idx", *[v.alias(k) for k, v in parts.items()]), 4)
 
 
 for _name in FORMS:
@@ -122,12 +120,12 @@ grid AS (SELECT pairs.doc_id, pairs.sent_idx, k, coalesce(x.p, 0) AS p, coalesce
 s AS (SELECT doc_id, sent_idx, sum(p) AS sp, sum(q) AS sq, sum(p * q) AS dot, sqrt(sum(p * p)) * sqrt(sum(q * q)) AS norms, sum(abs(p - q)) / 2 AS tv,
   sum(CASE WHEN p > 0 THEN 0.5 * p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN 0.5 * q * log2(q / ((p + q) / 2)) ELSE 0 END) AS js,
   count(*) FILTER (p > 0 AND q > 0) AS both_, count(*) FILTER (p > 0 OR q > 0) AS either_ FROM grid GROUP BY ALL)
-SELECT doc_id, sent_idx, CASE WHEN sp = 0 OR sq = 0 THEN 0 ELSE round(dot / norms + 1e-9, 6) END AS cosine, CASE WHEN sp = 0 OR sq = 0 THEN 1 ELSE round(sqrt(greatest(0, least(1, js))) + 1e-9, 6) END AS js_distance,
-  CASE WHEN sp = 0 OR sq = 0 THEN 1 ELSE round(least(1, tv) + 1e-9, 6) END AS total_variation, CASE WHEN sp = 0 OR sq = 0 THEN 0 ELSE round(both_ / either_ + 1e-9, 6) END AS jaccard FROM s""")
+SELECT doc_id, sent_idx, CASE WHEN sp = 0 OR sq = 0 THEN 0 ELSE round(dot / norms, 9) END AS cosine, CASE WHEN sp = 0 OR sq = 0 THEN 1 ELSE round(sqrt(greatest(0, least(1, js))), 9) END AS js_distance,
+  CASE WHEN sp = 0 OR sq = 0 THEN 1 ELSE round(least(1, tv), 9) END AS total_variation, CASE WHEN sp = 0 OR sq = 0 THEN 0 ELSE round(both_ / either_, 9) END AS jaccard FROM s""")
 def pair_distance_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = pairs.neighbours(profiles.char_profile(_sentences(spark, sf_dir), 3, BUCKETS), ["profile"])
     measures = profiles.distances(F.col("a_profile"), F.col("b_profile"))
-    return rounded(near.select("doc_id", "sent_idx", *[(v + NUDGE).alias(k) for k, v in measures.items()]))
+    return rounded(near.select("doc_id", "sent_idx", *[v.alias(k) for k, v in measures.items()]), 9)
 
 
 @query(f"""WITH {VECTORS}, {STATS}, {Z}, {GRAMS}, {HASHED}, {COUNTED}
@@ -142,10 +140,12 @@ def embedding_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(x.select("doc_id", "sent_idx", *[F.col("x")[k].cast("double").alias(f"z{k}") for k in range(len(SCALED))], F.col("x")[len(SCALED)].cast("double").alias("b0")), 4)
 
 
-@query(f"""WITH {SENTS}, {GRAMS}, {HASHED}, {COUNTED}, pairs AS (SELECT doc_id, sent_idx FROM (SELECT doc_id, sent_idx, lead(sent_idx) OVER (PARTITION BY doc_id ORDER BY sent_idx) AS nx FROM sents) WHERE nx IS NOT NULL)
-SELECT pairs.doc_id, pairs.sent_idx, CAST(k AS INT) AS bucket, round(abs(coalesce(x.p, 0) - coalesce(y.p, 0)) + 1e-9, 6) AS difference FROM pairs, range({BUCKETS}) AS r(k)
-  LEFT JOIN sh x ON x.doc_id = pairs.doc_id AND x.sent_idx = pairs.sent_idx AND x.bucket = k LEFT JOIN sh y ON y.doc_id = pairs.doc_id AND y.sent_idx = pairs.sent_idx + 1 AND y.bucket = k""")
+FILLED = ", ".join(f"coalesce(sum(p) FILTER (bucket = {k}), 0)" for k in range(BUCKETS))
+
+
+@query(f"""WITH {SENTS}, {GRAMS}, {HASHED}, {COUNTED}, lists AS (SELECT doc_id, sent_idx, [{FILLED}] AS v FROM sents LEFT JOIN sh USING (doc_id, sent_idx) GROUP BY ALL),
+near AS (SELECT doc_id, sent_idx, v, lead(v) OVER (PARTITION BY doc_id ORDER BY sent_idx) AS w FROM lists)
+SELECT doc_id, sent_idx, CAST(unnest(range({BUCKETS})) AS INT) AS bucket, unnest(list_transform(range(1, {BUCKETS} + 1), lambda k: round(abs(v[k] - w[k]), 9))) AS difference FROM near WHERE w IS NOT NULL""")
 def bucket_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = pairs.neighbours(profiles.char_profile(_sentences(spark, sf_dir), 3, BUCKETS), ["profile"])
-    out = near.select("doc_id", "sent_idx", F.posexplode(pairs.bucket_differences("profile")).alias("bucket", "difference"))
-    return rounded(out.withColumn("difference", F.col("difference") + NUDGE))
+    return rounded(near.select("doc_id", "sent_idx", F.posexplode(pairs.bucket_differences("profile")).alias("bucket", "difference")), 9)

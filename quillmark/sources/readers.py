@@ -16,8 +16,18 @@ METRICS = (
 )
 
 
+SPREAD = 32 << 20  # bytes for each core under which a table is dealt out anew
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt over all cores, since a file has no more splits than row groups; larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SPREAD else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def sentences(docs: DataFrame, *keep: str, breaks: str = X.LINE_BREAKS) -> DataFrame:

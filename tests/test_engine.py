@@ -61,11 +61,83 @@ def test_every_scalar_is_in_one_group(spark):
     assert table[0][1:] == (2, len(names) + 1.5, pytest.approx(math.sqrt(0.5)))
 
 
+SENTENCES = ["I won't go there.", "The old house was sold, wasn't it?", "NO WAY!!! Really...", "x", "And so, they walked slowly to the building; it rained."]
+
+
+def labelled(spark):
+    return spark.createDataFrame([(d, i, t, None if i == 0 else (i + d) % 2) for d in (1, 2) for i, t in enumerate(SENTENCES[d - 1 :])], "doc_id long, sent_idx int, sentence string, change int")
+
+
+def test_groups_cover_all_scalars_and_blocks():
+    from quillmark.operators import features
+
+    assert len(features.GROUPS) == 18 and len(features.SCALARS) == len(set(features.SCALARS)) == 63
+    config = FeatureConfig()
+    assert features.blocks(config) == {"char3": 256, "pos2": 128, "fw": 214} and len(features.pair_names(config)) == 76
+    owned = [c for g in features.GROUPS for c in features.pair_columns(g, config)]
+    assert sorted([*owned, features.OVERALL]) == sorted(features.pair_names(config))
+    assert features.groups_of("readability") == ["FLESCH_READING_EASE", "GUNNING_FOG", "FLESCH_KINCAID"] and len(features.families()) == 7
+    assert "76 columns" in features.describe(config)
+
+
+def test_pair_matrix(spark):
+    from dataclasses import replace
+
+    from quillmark.operators import features
+
+    config = FeatureConfig(char_buckets=16, pos_buckets=8, full=True, casing="hybrid")
+    matrix, extractor = features.training_matrix(labelled(spark), config=config, frequent=["the", "and"])
+    assert matrix.columns == ["doc_id", "sent_idx", "label", *features.pair_names(config)]
+    rows = matrix.orderBy("doc_id", "sent_idx").collect()
+    assert [r.label for r in rows] == [(i + d) % 2 for d in (1, 2) for i in range(1, 6 - d)]
+    vectors = spark.createDataFrame(extractor.vectors(labelled(spark), "change").collect())
+    v = vectors.orderBy("doc_id", "sent_idx").collect()
+    x = np.array([[r[c] for c in features.SCALARS] for r in v])
+    z = np.clip((x - x.mean(0)) / np.where(x.std(0) < 1e-12, 1, x.std(0)), -5, 5)
+    at = [0, 1, 2, 3, 5, 6, 7]
+    assert [r[features.OVERALL] for r in rows] == pytest.approx(np.sqrt(((z[1:] - z[:-1]) ** 2).mean(1))[at].tolist())
+    assert [r.abs_comma_rate for r in rows] == pytest.approx(np.abs(z[1:] - z[:-1])[at][:, features.SCALARS.index("comma_rate")].tolist())
+    gaps = np.array([r.diff_char3 for r in rows])
+    assert gaps.shape == (7, 16) and np.abs(gaps.mean(0)).max() < 1e-6 and all(r.char3_js_distance <= 1 for r in rows)
+    for representation, value in (("CONCAT", z[at, 0]), ("RELATIVE", (np.abs(x[1:] - x[:-1]) / (np.abs(x[1:]) + np.abs(x[:-1]) + 1e-8))[at, 0])):
+        extractor.config = replace(config, representation=representation, full=False)
+        found = extractor.pairs(vectors, "change").orderBy("doc_id", "sent_idx").collect()
+        assert [r[3] for r in found] == pytest.approx(value.tolist())
+
+
 def test_tagger_by_rule():
-    tags = tagger.tag("The old man walked slowly to the house .".split(), tagger.Lexicon.of(verbs=["walk"], adjectives=["old"]))
+    tags = tagger.tag("The old man walked slowly to the house .".split())
     assert [tagger.TAGS[t] for t in tags] == ["det", "adj", "noun", "verb", "adv", "part", "det", "noun", "punct"]
     assert [tagger.TAGS[t] for t in tagger.tag(["Paris", "isn't", "it's", "Rome's", "3.5", "wow", "Berlin"])] == ["noun", "aux", "pron", "propn", "num", "intj", "propn"]
-    assert tagger.tag([]) == []
+    assert tagger.tag([]) == [] and tagger.tag(["The", "slowly", "house"]) == [tagger.DET, tagger.ADV, tagger.NOUN]
+    said = tagger.tag("— We run . The run in the Building was stopped , let's hurry ; dogs' n't Ünïted".split())
+    assert [tagger.TAGS[t] for t in said] == ["punct", "pron", "verb", "punct", "det", "noun", "adp", "det", "noun", "aux", "verb", "punct", "verb", "noun", "punct", "noun", "aux", "propn"]
+    own = tagger.tagger(verbs=["zib"], adjectives=[])
+    assert own.tag(["they", "zibbed", "good"]) == [tagger.PRON, tagger.VERB, tagger.NOUN]
+    with pytest.raises(ValueError):
+        tagger.tagger("corenlp")
+    assert [tagger.TAGS[tagger.from_penn(x)] for x in ("NNS", "VBD", "PRP$", "-LRB-", ",", "FW", "HYPH", "POS", None)] == ["noun", "verb", "pron", "punct", "punct", "other", "punct", "part", "other"]
+
+
+def test_profiles_by_hand(spark):
+    texts = ["ab, cd", "", "a", "ünï x-y 12"]
+    for n, buckets, typed in ((3, 16, False), (2, 8, True), (1, 4, False)):
+        rows = profiles.char_profile(sentences_frame(spark, texts), n, buckets, typed).orderBy("sent_idx").collect()
+        for r in rows:
+            counts, t = [0] * buckets, r.sentence
+            for i in range(len(t) - n + 1):
+                g = t[i : i + n]
+                edge = i == 0 or i + n == len(t) or not t[i - 1].isalnum() or not t[i + n].isalnum()
+                if not typed or edge or not g.isalnum():
+                    counts[int(hashing.buckets_of(hashing.gram_hashes(hashing.units_of(g), n), buckets)[0])] += 1
+            assert r.profile == pytest.approx([c / max(1, sum(counts)) for c in counts])
+    tagged = spark.createDataFrame([(1, 0, [0, 2, 0]), (1, 1, []), (1, 2, None)], "doc_id long, sent_idx int, tags array<int>")
+    one = {r.sent_idx: r.profile for r in profiles.tag_profile(tagged, 1, 15).collect()}
+    assert one[0][:3] == pytest.approx([2 / 3, 0, 1 / 3]) and sum(one[1]) == sum(one[2]) == 0
+    two = {r.sent_idx: r.profile for r in profiles.tag_profile(tagged, 2, 64).collect()}
+    assert sum(two[0]) == pytest.approx(1) and sum(v > 0 for v in two[1]) == 1 and two[1] == two[2]
+    fw = profiles.function_word_profile(scalars.prepared(sentences_frame(spark, ["The dog won't", "xyz", "the the"])).withColumn("__fw", profiles.function_word_parts())).orderBy("sent_idx").collect()
+    assert len(fw[0].fw) == 214 and sum(fw[0].fw) == pytest.approx(1) and sum(fw[1].fw) == 0 and fw[2].fw[0] == 1
 
 
 def test_profiles_sum_to_one_and_distances_are_symmetric(spark):
