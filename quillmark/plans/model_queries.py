@@ -121,10 +121,12 @@ def embedding_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = [c for c in v.columns if c not in ("doc_id", "sent_idx", "segment", "change")]
     fitted = pairs.fit_scaler(v, columns)
     z = v.select("doc_id", "sent_idx", "segment", "change", *[pairs.zscore(c, fitted[c]).alias(c) for c in columns])
-    own = z.orderBy(F.xxhash64("doc_id"), "doc_id", "sent_idx").limit(150_000).select("doc_id", "segment", *columns).toArrow()
+    part = min(1.0, 150_000 / max(1, z.count()))  # whole documents, by hash
+    own = z.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(part * (1 << 20))).select("doc_id", "sent_idx", "segment", *columns).toArrow().sort_by([("doc_id", "ascending"), ("sent_idx", "ascending")])
     x = np.column_stack([own.column(c).to_numpy() for c in columns])
-    triplets = models.draw_triplets([(d, g, k) for k, (d, g) in enumerate(zip(own.column("doc_id").to_pylist(), own.column("segment").to_pylist()))], 4000)
-    net = models.fit_embedding(x, triplets, hidden=64, dim=8, epochs=5)
+    rows = [(d, g, k) for k, (d, g) in enumerate(zip(own.column("doc_id").to_pylist(), own.column("segment").to_pylist()))]
+    held = models.draw_triplets([r for r in rows if r[0] % 5 == 0], 500)
+    net = models.fit_embedding(x, models.draw_triplets([r for r in rows if r[0] % 5], 4000), hidden=(64,), dim=8, epochs=5, held=(x, held))
     e = models.apply_network(z, net, columns, "e", embed=True)
     flat = e.select("doc_id", "sent_idx", *[F.col("e")[k].alias(f"e{k}") for k in range(8)])
     return rounded(segments.boundary_scores(flat, [f"e{k}" for k in range(8)], 1))
