@@ -40,6 +40,11 @@ def words_of(tokens: Column) -> Column:
     return F.filter(F.transform(tokens, lambda x: F.regexp_replace(x, "[^a-zA-Z0-9']", "")), lambda x: x != "")
 
 
+def letters_only(x: Column) -> Column:
+    """ASCII letters, lower-cased."""
+    return F.lower(F.regexp_replace(x, "[^a-zA-Z]", ""))
+
+
 def lookup_key(token: Column) -> Column:
     return F.lower(F.regexp_replace(token, "[^a-zA-Z']", ""))
 

@@ -112,9 +112,9 @@ def style_scale(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return mean, np.sqrt(np.maximum(1e-12, square - mean**2))
 
 
-def numbers(docs: DataFrame) -> DataFrame:
-    """``(doc_id, the sixteen numbers)`` of every document."""
-    mean, std = style_scale(docs)
+def numbers(docs: DataFrame, scale: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """``(doc_id, the sixteen numbers)`` of every document; styles are scaled as given, or over these documents."""
+    mean, std = scale or style_scale(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

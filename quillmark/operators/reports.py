@@ -32,3 +32,38 @@ def best_values(results: DataFrame) -> DataFrame:
     """For each model and parameter the value with the best validation score, the first by name where equal."""
     order = Window.partitionBy("model", "param").orderBy(F.desc("val_macro_f1"), "value")
     return results.withColumn("__k", F.row_number().over(order)).where("__k = 1").select("model", "param", "value", "val_macro_f1")
+
+
+def history(runs: DataFrame, model: str) -> DataFrame:
+    """All runs of a model, the last first."""
+    return runs.where(F.col("model") == model).orderBy(F.desc("trained_at"), F.desc("id"))
+
+
+def latest_for(runs: DataFrame, model: str) -> DataFrame:
+    """The last run of a model, whatever its source."""
+    return history(runs, model).limit(1)
+
+
+def importance_by_level(runs: DataFrame, *levels: str, baseline: str = "ALL") -> DataFrame:
+    """What leaving out a group costs each level, averaged over the models: ``(experiment, models, a column for each level)``."""
+    base = runs.where(F.col("experiment") == baseline).select("model", *[F.col(c).alias(f"base_{c}") for c in levels])
+    lost = runs.where(F.col("experiment").startswith(f"{baseline} - ")).join(base, "model")
+    return lost.groupBy("experiment").agg(F.count("*").alias("models"), *[F.avg(F.col(f"base_{c}") - F.col(c)).alias(c) for c in levels])
+
+
+def across_models(runs: DataFrame, models: tuple[str, ...], measure: str = "macro_f1") -> DataFrame:
+    """A row for each experiment with a column for each model, and their mean."""
+    mean = runs.groupBy("experiment").agg(F.avg(measure).alias("mean"))
+    return runs.groupBy("experiment").pivot("model", list(models)).agg(F.avg(measure)).join(mean, "experiment")
+
+
+def grid(runs: DataFrame, rows: str, columns: str, values: tuple, measure: str = "macro_f1") -> DataFrame:
+    """A measure by two parameters, as a table: depth by least leaf, for one."""
+    return runs.groupBy(rows).pivot(columns, list(values)).agg(F.avg(measure))
+
+
+def markdown(table: DataFrame, digits: int = 4) -> str:
+    """A small table as text."""
+    cell = lambda v: f"{v:.{digits}f}" if isinstance(v, float) else "" if v is None else str(v)
+    lines = [f"| {' | '.join(table.columns)} |", f"|{'---|' * len(table.columns)}"]
+    return "\n".join([*lines, *(f"| {' | '.join(map(cell, r))} |" for r in table.collect())])

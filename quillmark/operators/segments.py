@@ -18,6 +18,13 @@ def segments(sentences: DataFrame) -> DataFrame:
     return sentences.groupBy("doc_id", "segment").agg(F.min("sent_idx").alias("first"), (F.max("sent_idx") + 1).alias("end"), F.count("*").alias("sentences"))
 
 
+def offsets(per_segment: DataFrame) -> DataFrame:
+    """``per_segment`` with the document's number of segments, and each segment's place and first sentence among all of its
+    document's sentences."""
+    order = Window.partitionBy("doc_id").orderBy("segment")
+    return per_segment.withColumn("segments", F.count("*").over(Window.partitionBy("doc_id"))).withColumn("start", F.sum("sentences").over(order) - F.col("sentences"))
+
+
 def author_relation(i: Column, j: Column, n_segments: Column, authors: Column) -> Column:
     """same, different or unknown for segments i < j: neighbours differ; as many authors as segments: all differ; two authors take turns."""
     return (
