@@ -70,7 +70,7 @@ def schemes(scored: DataFrame, docs: DataFrame, by_level: dict[str, float], pool
     cuts = named.select("doc_id", "level", F.explode(F.array(*[F.struct(F.lit(s).alias("scheme"), F.col(c).alias("known")) for s, c in (("true", "level"), ("detected", "detected"), ("vote", "vote"))])).alias("x")).select("doc_id", "level", "x.*")
     cuts = cuts.unionByName(docs.select("doc_id", "level", F.lit("pooled").alias("scheme"), F.lit(None).cast("string").alias("known")))
     cuts = cuts.join(F.broadcast(table), "known", "left").select("doc_id", "level", "scheme", F.coalesce("cut", F.lit(pooled)).alias("cut"))
-    rows = scored.join(cuts, "doc_id").withColumn("said", F.col("score") > F.col("cut")).withColumn("true", F.col("label") == 1)
+    rows = scored.select("doc_id", "score", "label").join(cuts, "doc_id").withColumn("said", F.col("score") > F.col("cut")).withColumn("true", F.col("label") == 1)
     counts = {"tp": F.col("said") & F.col("true"), "fp": F.col("said") & ~F.col("true"), "fn": ~F.col("said") & F.col("true"), "tn": ~F.col("said") & ~F.col("true")}
     out = rows.rollup("scheme", "level").agg(*[F.count_if(c).alias(k) for k, c in counts.items()]).where("scheme IS NOT NULL")
     return out.select("scheme", F.coalesce("level", F.lit("all")).alias("level"), *metrics.COUNTS, metrics.derived(*map(F.col, metrics.COUNTS))["macro_f1"].alias("macro_f1"))

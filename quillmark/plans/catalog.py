@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmark.plans import evaluation_queries, model_queries, pair_queries, sentence_queries  # noqa: F401
+from quillmark.plans import evaluation_queries, model_queries, pair_queries, report_queries, sentence_queries  # noqa: F401
 from quillmark.plans.base import ORACLES, QUERIES, Query
 
 
