@@ -152,17 +152,17 @@ def _confirmed(percent: int):
 
 
 def _within_blocks(percent: int, at_least: int):
-    """Rows come sorted by bucket and block: a block's members, and the bucket's probes. Pairs of a probe and a member of
-    another component whose signatures are near enough; two probes meet in the block of the larger id."""
+    """Rows come sorted by bucket, block of members and block of probes. Pairs of a probe and a member of another component
+    whose signatures are near enough; two probes meet where the one with the larger id is the member."""
 
     def solve(rows: pa.Table) -> pa.RecordBatch | None:
-        ids, parts, n, member, probe = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("id", "component", "n", "member", "probe"))
+        ids, parts, n, member, probe, outside = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("id", "component", "n", "member", "probe", "outside"))
         key = rows.column("key")[0].as_py() >> 48
         sketch = _matrix(rows.column("sketch"))
         symbols, finer = np.ascontiguousarray(sketch[:, : 2 * SYMBOLS]).view("<u2"), sketch[:, 2 * SYMBOLS :]
         out = []
         for r in np.flatnonzero(probe).tolist():
-            others = np.flatnonzero(member & (parts != parts[r]) & (~probe | (ids > ids[r])) & (100 * np.minimum(n, n[r]) >= percent * np.maximum(n, n[r])))
+            others = np.flatnonzero(member & (parts != parts[r]) & (~outside | (ids > ids[r])) & (100 * np.minimum(n, n[r]) >= percent * np.maximum(n, n[r])))
             if len(others):
                 others = others[first_key(np.broadcast_to(symbols[r], (len(others), SYMBOLS)), symbols[others]) == key]
             if len(others):
@@ -178,7 +178,7 @@ def _within_blocks(percent: int, at_least: int):
         for batch in slices(batches, 4 << 20):
             new = pa.Table.from_batches([batch])
             held = pa.concat_tables([held, new]) if held is not None else new
-            marks = [held.column(c).to_numpy() for c in ("key", "block")]
+            marks = [held.column(c).to_numpy() for c in ("key", "block", "other")]
             cuts = np.flatnonzero(np.any([m[1:] != m[:-1] for m in marks], axis=0)) + 1
             at = 0
             for to in cuts.tolist():
@@ -213,8 +213,8 @@ def link_documents(docs: DataFrame, percent: int = 75, most_sent: int = 1_000_00
     At a similarity of 0.75 a pair shares none with a chance of 0.00002.
 
     In each bucket the first document is compared with each other one; links are confirmed on the whole sets and give
-    components. In a bucket that still holds several components, the members outside its largest one are probes: they go
-    to each of the bucket's blocks and meet the members of other components there, each pair in the first bucket it
+    components. In a bucket that still holds several components, the members outside its largest one are probes. All
+    members and the probes are cut into blocks, and each block of probes meets each block of members, each pair in the first bucket it
     shares, and a finer signature leaves out those far below the threshold before the sets are compared. Pairs within a
     component are never listed, and the rows dealt follow the pairs across components. ``most_sent`` bounds the ids sent
     to the executors to pick the documents whose sets are needed; beyond it that is a shuffled join. Sides of joins that
@@ -254,12 +254,17 @@ def link_documents(docs: DataFrame, percent: int = 75, most_sent: int = 1_000_00
     several = members.where("size > 2").select("key", "id", "n", "size").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     several = stored(several, "several")
     sizes = several.groupBy("key", "component").agg(F.count("*").alias("held"))
-    open_keys = stored(sizes.groupBy("key").agg(F.max(F.struct("held", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("largest.component").alias("largest")), "open")
-    rows = several.join(open_keys, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    rows = rows.withColumn("probe", F.col("component") != F.col("largest"))
-    rows = rows.withColumn("block", F.explode(F.when(F.col("probe"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own")))).withColumn("member", F.col("block") == F.col("own"))
-    rows = rows.select("key", "block", "id", "component", "n", "member", "probe").join(details.select("id", "sketch"), "id")
-    across = rows.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_within_blocks(percent, at_least), "a long, b long")
+    largest = F.max(F.struct("held", "component"))
+    open_keys = stored(sizes.groupBy("key").agg(largest.alias("largest"), F.sum("held").alias("all")).where("all > largest.held").select("key", F.col("largest.component").alias("largest"), (F.col("all") - F.col("largest.held")).alias("probes"), "all"), "open")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("id"), blocks(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), blocks(n) - 1)
+    rows = several.join(open_keys, "key").withColumn("outside", F.col("component") != F.col("largest"))
+    as_member = F.transform(every("probes"), lambda j: F.struct(own("all").alias("block"), j.alias("other")))
+    as_probe = F.when(F.col("outside"), F.transform(every("all"), lambda i: F.struct(i.alias("block"), own("probes").alias("other")))).otherwise(F.array())
+    rows = rows.withColumn("task", F.explode(F.array_distinct(F.concat(as_member, as_probe)))).withColumn("member", F.col("task.block") == own("all")).withColumn("probe", F.col("outside") & (F.col("task.other") == own("probes")))
+    rows = rows.select("key", "task.block", "task.other", "id", "component", "n", "member", "probe", "outside").join(details.select("id", "sketch"), "id")
+    across = rows.repartition("key", "block", "other").sortWithinPartitions("key", "block", "other").mapInArrow(_within_blocks(percent, at_least), "a long, b long")
     more = confirmed(stored(across.distinct(), "across"), "more")
     placed = sketches.where("digest IS NOT NULL AND doc_id IS NOT NULL").join(classes.select("digest", "id"), "digest").select("doc_id", "id")
     several_texts = placed.groupBy("doc_id").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("doc_id")

@@ -94,6 +94,29 @@ FROM marked GROUP BY doc_id
 """
 
 
+NEAR_DEDUP_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), grams AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS g FROM words
+), sized AS (
+  SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), near AS (
+  SELECT a, b FROM common JOIN sized x ON x.doc_id = a JOIN sized y ON y.doc_id = b WHERE 100 * common.n >= 75 * (x.n + y.n - common.n)
+), links AS (
+  SELECT a, b FROM near UNION ALL SELECT b, a FROM near
+), reached AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a
+), least AS (
+  SELECT a, min(b) AS component_id FROM reached GROUP BY a
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM documents LEFT JOIN sized USING (doc_id) JOIN least ON a = doc_id
+"""
+
+
 TOP_K_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
@@ -126,4 +149,4 @@ FROM v JOIN (SELECT a, min(b) AS component_id FROM reached GROUP BY a) c ON c.a
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": LINE_DEDUP_SQL, "op6_top_k": TOP_K_SQL, "op8_embedding_dedup": VECTOR_LINKS_SQL}
+    return {"op3_near_dedup": NEAR_DEDUP_SQL, "op4_line_dedup": LINE_DEDUP_SQL, "op6_top_k": TOP_K_SQL, "op8_embedding_dedup": VECTOR_LINKS_SQL}
