@@ -164,14 +164,14 @@ def _register(window: int) -> None:
 for _w in (1, 2, 3):
     _register(_w)
 
-PLACED = "placed AS (SELECT vec_id % 25 AS doc_id, vec_id AS idx, label AS segment, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)"
+PLACED = "placed AS (SELECT vec_id // 20 AS doc_id, vec_id AS idx, label AS segment, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)"
 SIMILAR = f"""{PLACED}, sim AS (SELECT a.doc_id, a.idx AS query, b.idx AS other, a.segment AS query_segment, b.segment AS other_segment,
   list_inner_product(a.x, b.x) / (sqrt(list_inner_product(a.x, a.x)) * sqrt(list_inner_product(b.x, b.x)) + 1e-12) AS similarity FROM placed a JOIN placed b ON a.doc_id = b.doc_id AND a.idx <> b.idx),
 rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id, query ORDER BY similarity DESC, other) AS rank, CAST(query_segment = other_segment AS INT) AS hit FROM sim)"""
 
 
 def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.similarities(table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 25).alias("doc_id"), F.col("vec_id").alias("idx"), F.col("label").alias("segment"), F.col("embedding").alias("x")))
+    return metrics.similarities(table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 20).alias("doc_id"), F.col("vec_id").alias("idx"), F.col("label").alias("segment"), F.col("embedding").alias("x")))
 
 
 @query(f"WITH {SIMILAR} SELECT doc_id, query, other, round(similarity, 6) AS similarity FROM sim")
