@@ -2,17 +2,45 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import string
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 from quillmark.llm.common import kept, only
 
 END_ID = 2
-AT_ONCE = 20_000  # words in one call
+STRETCH = 4 << 20  # bytes of text that are cut into pieces at once
 _ENCODERS: dict[str, "WordEncoder"] = kept({})
 
+_BLANK = re.compile(rb"[\x20\x09-\x0d]")
+BLANK, LETTER, POINT, OTHER = range(4)
+KINDS = np.full(256, OTHER, np.uint8)
+KINDS[list(b"\t\n\v\f\r ")] = BLANK
+KINDS[list(string.ascii_letters.encode())] = LETTER
+KINDS[list(string.punctuation.encode())] = POINT
+KINDS[list(b"'<")] = OTHER  # contractions and the names of special tokens are not cut
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+SECOND = np.isin(np.arange(256), [x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)])  # behind 0xC3: a letter
+WORD = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+
+#: Lower-case, drop white space, cut into contractions, words, digits and runs of all else, write bytes as characters.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+_SHOWN = [x for x in range(256) if 33 <= x <= 126 or 161 <= x <= 172 or 174 <= x]
+AS_CHARACTERS = {x: x for x in _SHOWN} | {x: 256 + k for k, x in enumerate(x for x in range(256) if x not in _SHOWN)}
+
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -20,12 +48,24 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def stretches(text: bytes, limit: int) -> Iterator[bytes]:
+    """The text in parts of about ``limit`` bytes, cut at white space."""
+    at = 0
+    while at < len(text):
+        stop = _BLANK.search(text, at + limit)
+        to = stop.start() if stop else len(text)
+        yield text[at:to]
+        at = to
+
+
 class WordEncoder:
     """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False)`` for tokenizers that drop white space.
 
-    Such a tokenizer never joins across ASCII white space, so a text's ids are those of its chunks in turn. A chunk of
-    letters with ASCII punctuation behind is two such parts again. Unseen letter chunks go to the library many at a time,
-    and the ids are cut after each end-of-word id; if the cuts don't match the chunks, each is encoded alone.
+    Such a tokenizer never joins across ASCII white space, so a text's ids are those of its chunks in turn. For tokenizers
+    that normalise and split as ``NORMALIZER`` and ``PRE_TOKENIZER`` say, a chunk of ASCII and Latin-1 letters and ASCII
+    punctuation is cut further, into lower-case words and runs of punctuation; words go straight to the model. All other
+    chunks go to the library whole. Every different piece of a stretch of texts is looked up once. Of the pieces kept,
+    those not seen for the longest go first: ``most`` in two halves, of which the older is dropped when the newer is full.
     """
 
     def __init__(self, path: str, most: int = 400_000, longest: int = 64):
@@ -33,54 +73,102 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.ends = np.zeros(max(self.library.get_vocab().values()) + 1, bool)
-        for token, i in self.library.get_vocab().items():
-            self.ends[i] = token.endswith("</w>")
+        self.model = self.library.model
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        named = [x["content"] for x in made.get("added_tokens") or []]
+        self.cuts = made.get("normalizer") == NORMALIZER and made.get("pre_tokenizer") == PRE_TOKENIZER and made["model"].get("type") == "BPE" and all("<" in x for x in named)
+        self.cuts = self.cuts and not any(made.get(x) for x in ("truncation", "padding", "post_processor")) and not made["model"].get("dropout")
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.most, self.longest = most, longest
 
     def alone(self, chunk: str) -> bytes:
         return np.array(self.library.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of the chunks that are not kept yet; long ones are not kept."""
-        known, split, plain, rest = self.known, {}, set(), {}
-        for c in chunks:
-            s = c.decode("utf-8", "replace")
-            core = s.rstrip(string.punctuation)
-            if core.isalpha() and len(c) <= self.longest:
-                low = core.lower() if core.isascii() else core
-                split[c] = (low.encode(), s[len(core) :].encode())
-                plain.add(low)
+    def learn(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces that are not kept."""
+        out, words, ids, ends = [b""] * len(pieces), [], [], []
+        for k, c in enumerate(pieces):
+            if self.cuts and WORD.fullmatch(c):
+                ids += [t.id for t in self.model.tokenize(c.decode() if c.isascii() else c.decode("latin-1").translate(AS_CHARACTERS))]
+                words.append(k)
+                ends.append(4 * len(ids))
             else:
-                rest[c] = self.alone(s)
-        plain = [x for x in plain if x.encode() not in known]
-        joined = (" ".join(plain[i : i + AT_ONCE]) for i in range(0, len(plain), AT_ONCE))
-        ids = np.concatenate([np.zeros(0, "<u4"), *(np.array(x.ids, "<u4") for j in joined for x in self.library.encode_batch_fast([j], add_special_tokens=False))])
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) == len(plain) and (not plain or cuts[-1] == len(ids)):
-            raw, at = ids.tobytes(), 0
-            for x, to in zip(plain, (cuts * 4).tolist()):
-                known[x.encode()] = raw[at:to]
-                at = to
+                out[k] = self.alone(c.decode("utf-8", "replace"))
+        raw, at = np.array(ids, "<u4").tobytes(), 0
+        for k, to in zip(words, ends):
+            out[k] = raw[at:to]
+            at = to
+        return out
+
+    def found(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of different pieces; long ones are not kept."""
+        known, older = self.known, self.older
+        out = list(map(known.get, pieces))
+        missed = [k for k, x in enumerate(out) if x is None]
+        for k in missed:
+            out[k] = older.get(pieces[k])
+        unseen = [k for k in missed if out[k] is None]
+        for k, x in zip(unseen, self.learn([pieces[k] for k in unseen])):
+            out[k] = x
+        known.update((pieces[k], out[k]) for k in missed if len(pieces[k]) <= self.longest)
+        if 2 * len(known) > self.most:
+            self.known, self.older = {}, known
+        return out
+
+    def pieces(self, data: bytes) -> tuple[np.ndarray, pa.LargeBinaryArray]:
+        """Where the pieces of the data start, and the pieces."""
+        raw = np.frombuffer(data, np.uint8)
+        kinds, text = KINDS[raw], LOWER[raw]
+        if not self.cuts:
+            kinds[kinds != BLANK], text = OTHER, raw.copy()
         else:
-            known.update((x.encode(), self.alone(x)) for x in plain)
-        for c, (core, tail) in split.items():
-            if tail and tail not in known:
-                known[tail] = self.alone(tail.decode())
-            known[c] = known[core] + known[tail] if tail else known[core]
-        known.update((c, v) for c, v in rest.items() if len(c) <= self.longest)
-        return {c: v for c, v in rest.items() if len(c) > self.longest}
+            two = np.flatnonzero(raw[:-1] == 0xC3)
+            two = two[SECOND[raw[two + 1]]]
+            kinds[two] = kinds[two + 1] = LETTER
+            text[two[raw[two + 1] < 0x9F] + 1] += 32
+        runs = np.concatenate([np.zeros(1, np.int64), np.flatnonzero(kinds[1:] != kinds[:-1]) + 1]) if len(raw) else np.zeros(0, np.int64)
+        kind, lengths = kinds[runs], np.diff(runs, append=len(raw))
+        blank = kind == BLANK
+        first = np.concatenate([np.ones(1, bool), blank[:-1]]) if len(runs) else blank
+        starts = ~blank
+        if (kind == OTHER).any():
+            chunk = np.cumsum(blank)
+            whole = np.zeros(len(runs) + 1, bool)
+            whole[chunk[kind == OTHER]] = True
+            whole = whole[chunk]
+            starts &= first | ~whole
+            np.copyto(text, raw, where=np.repeat(whole, lengths))
+        blanks = np.cumsum(np.where(blank, lengths, 0))
+        text = text[kinds != BLANK]
+        offsets = np.append((runs - blanks)[starts], len(text))
+        return runs[starts], pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(text)])
+
+    def _encode(self, documents: list[bytes], end: bytes) -> list[bytes]:
+        starts, pieces = self.pieces(b"\n".join(documents))
+        coded = pieces.dictionary_encode()
+        ids = self.found(coded.dictionary.to_pylist())
+        before = np.searchsorted(starts, np.cumsum([len(d) + 1 for d in documents]))
+        order = np.insert(coded.indices.to_numpy(), before, len(ids))
+        made = pa.array([*ids, end], pa.large_binary()).take(pa.array(order))
+        places = np.frombuffer(made.buffers()[1], np.int64)[before + np.arange(1, len(before) + 1)].tolist()
+        data = memoryview(made.buffers()[2])
+        return [bytes(data[a:b]) for a, b in zip([0, *places], places)]
 
     def encode(self, documents: list[bytes], end: bytes) -> list[bytes]:
         """Little-endian 32-bit ids of each document, with ``end`` behind."""
-        split = [d.split() for d in documents]
-        chunks = set().union(*split) if split else set()
-        if len(self.known) > self.most:
-            self.known.clear()
-        long = self.learn(chunks.difference(self.known))
-        get = (lambda c: long[c] if c in long else self.known[c]) if long else self.known.__getitem__
-        return [b"".join(map(get, words)) + end for words in split]
+        out, some, held = [], [], 0
+        for d in documents:
+            if some and held + len(d) > STRETCH:
+                out += self._encode(some, end)
+                some, held = [], 0
+            if len(d) > STRETCH:
+                out.append(b"".join(x for s in stretches(d, STRETCH) for x in self._encode([s], b"")) + end)
+            else:
+                some.append(d)
+                held += len(d)
+        return out + self._encode(some, end) if some else out
 
 
 def encoder(path: str) -> WordEncoder:

@@ -1,10 +1,11 @@
+import json
 import random
 import zlib
 
 import numpy as np
 import pytest
 
-from quillmark.llm import packing, sstable
+from quillmark.llm import packing, sstable, tokens
 from quillmark.llm.common import scratch
 from quillmark.llm.tokens import END_ID, WordEncoder, default_tokenizer
 from tests.llm.helpers import corpus, frame
@@ -24,6 +25,43 @@ def test_word_by_word_ids_are_the_librarys():
             assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode([t.encode() for t in ODD], np.array([END_ID], "<u4").tobytes())] == [encoded(t).tolist() for t in ODD]
 
 
+PARTS = ["the", "The", "ÉTÉ", "ß", "ÿ", "×", "µ", "İ", "H\u0331", "\u0301", "'", "'LL", "<", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", ",", "!!", "%%", "_", "42", "½", " ", "\n", "\x1c", "\0", "\x85", "\xa0", "日", "Σ", "😀"]
+
+
+def random_texts(seed):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(PARTS) for _ in range(rng.choice([0, 1, 2, 5, 20, 60]))) for _ in range(400)]
+
+
+def same_ids(encoder, texts):
+    wanted = [np.array([*encoder.library.encode(t, add_special_tokens=False).ids, END_ID], "<u4").tobytes() for t in texts]
+    return encoder.encode([t.encode() for t in texts], np.array([END_ID], "<u4").tobytes()) == wanted
+
+
+@pytest.mark.parametrize("stretch", [16, 4 << 20])
+def test_ids_of_random_pieces_are_the_librarys(monkeypatch, stretch):
+    monkeypatch.setattr(tokens, "STRETCH", stretch, raising=False)
+    assert same_ids(WordEncoder(default_tokenizer(), most=20), random_texts(stretch))
+
+
+def test_ids_of_a_tokenizer_that_keeps_case_are_the_librarys(tmp_path):
+    made = json.load(open(default_tokenizer(), encoding="utf-8"))
+    made["normalizer"]["normalizers"] = [x for x in made["normalizer"]["normalizers"] if x["type"] != "Lowercase"]
+    path = tmp_path / "cased.json"
+    path.write_text(json.dumps(made), encoding="utf-8")
+    assert same_ids(WordEncoder(str(path)), random_texts(1))
+
+
+def test_a_word_that_comes_back_is_encoded_once_in_any_form(monkeypatch):
+    encoder, learned = WordEncoder(default_tokenizer(), most=40), []
+    learn = encoder.learn
+    monkeypatch.setattr(encoder, "learn", lambda pieces: learned.extend(pieces) or learn(pieces))
+    for k in range(20):
+        fresh = [f"{chr(97 + k)}x{chr(97 + i)}q" for i in range(10)]
+        assert same_ids(encoder, ["the The, THE. the!! " + " ".join(fresh)])
+    assert [x for x in learned if x.lower().startswith(b"the")] == [b"the"]
+
+
 def test_shards_round_trip_in_order(spark):
     rows = corpus() + corpus()[20:23]
     uri = scratch(spark, "shards")
