@@ -1,8 +1,10 @@
 import json
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillmark.llm import packing, sstable, tokens
@@ -118,6 +120,22 @@ def test_packing_keeps_every_id_and_pads_nothing(spark):
         assert all(n & (n - 1) == 0 for n in sizes)
 
 
+def test_packing_encodes_a_word_that_comes_back_once(monkeypatch):
+    encoder, learned = WordEncoder(default_tokenizer(), most=40), []
+    learn = encoder.learn
+    monkeypatch.setattr(encoder, "learn", lambda pieces: learned.extend(pieces) or learn(pieces))
+    monkeypatch.setattr(packing, "encoder", lambda path: encoder)
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rows = [(k, "the The, THE. " + " ".join(f"{chr(97 + k)}x{chr(97 + i)}q" for i in range(10))) for k in range(20)]
+    batches = [pa.RecordBatch.from_pylist([{"doc_id": k, "text": t}]) for k, t in rows]
+    windows = [w for b in packing._first(iter(batches), "", 64, 4, True, True) for w in b.to_pylist()]
+    assert [x for x in learned if x.lower().startswith(b"the")] == [b"the"]
+    found = {}
+    for p in sorted((p for w in windows for p in w["pieces"]), key=lambda p: (p["doc_id"], p["start"])):
+        found[p["doc_id"]] = found.get(p["doc_id"], b"") + p["ids"]
+    assert found == {k: encoded(t).tobytes() for k, t in rows}
+
+
 def placed(spark, rows, partitions):
     """Documents of so many ids in these partitions: rows of (partition, ids)."""
     texts = [(k, p, "a " * (n - 1)) for k, (p, n) in enumerate(rows)]
