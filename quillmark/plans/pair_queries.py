@@ -21,7 +21,7 @@ def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scalars.measured(_sentences(spark, sf_dir), GROUPS).select("doc_id", "sent_idx", *SCALED)
+    return scalars.of_documents(table(spark, sf_dir, "documents"), GROUPS).select("doc_id", "sent_idx", *SCALED)
 
 
 HASHED = " ".join(
@@ -132,10 +132,8 @@ def pair_distance_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, sent_idx, {', '.join(f'round(CAST(CAST({c} AS FLOAT) AS DOUBLE), 4) AS z{k}' for k, c in enumerate(SCALED))}, round(CAST(CAST(coalesce(sqrt(p), 0) * 4 AS FLOAT) AS DOUBLE), 4) AS b0
 FROM z LEFT JOIN (SELECT * FROM sh WHERE bucket = 0) USING (doc_id, sent_idx)""")
 def embedding_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _sentences(spark, sf_dir)
-    v = _vectors(spark, sf_dir)
-    fitted = pairs.fit_scaler(v, list(SCALED))
-    both = v.join(profiles.char_profile(s, 3, BUCKETS).select("doc_id", "sent_idx", "profile"), ["doc_id", "sent_idx"])
+    fitted = pairs.fit_scaler(_vectors(spark, sf_dir), list(SCALED))
+    both = profiles.char_profile(scalars.measured(_sentences(spark, sf_dir), GROUPS, keep=("doc_id", "sent_idx", "sentence")), 3, BUCKETS)
     x = both.select("doc_id", "sent_idx", pairs.embedding_input(list(SCALED), fitted, "profile").alias("x"))
     return rounded(x.select("doc_id", "sent_idx", *[F.col("x")[k].cast("double").alias(f"z{k}") for k in range(len(SCALED))], F.col("x")[len(SCALED)].cast("double").alias("b0")), 4)
 

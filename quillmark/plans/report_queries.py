@@ -20,7 +20,7 @@ LOWERED = PREP.replace("replace(sentence, '’', '''') AS t", "replace(lower(sen
 def _register(group: str) -> None:
     @query(f"WITH {LOWERED} SELECT doc_id, sent_idx, {rounded_sql(SQL[group])} FROM prep", name=f"lowered_{group}")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(scalars.measured(sentences(table(spark, sf_dir, "documents")), [group], casing="lower"))
+        return rounded(scalars.of_documents(table(spark, sf_dir, "documents"), [group], casing="lower"))
 
 
 for _group in ("orthography", "layout"):

@@ -51,12 +51,10 @@ def half_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     'step': "abs(ln(1 + lead(len(tokens)) OVER (PARTITION BY doc_id ORDER BY sent_idx)) - ln(1 + len(tokens)))"})} FROM prep""")
 def style_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: a few measurements of each sentence, and the step of its length to the next one."""
-    s = scalars.prepared(sentences(_documents(spark, sf_dir), "lang"))
-    values = {
-        "comma_rate": scalars.marks_group()["comma_rate"], "avg_word_length": scalars.word_length_group()["avg_word_length"], "uppercase_ratio": scalars.orthography_group()["uppercase_ratio"],
-        "type_token_ratio": scalars.diversity_group()["type_token_ratio"], "step": F.abs(F.lead(F.log1p("n_words")).over(Window.partitionBy("doc_id").orderBy("sent_idx")) - F.log1p("n_words")),
-    }
-    return rounded(s.select("lang", "doc_id", "sent_idx", "n_words", *[c.cast("double").alias(k) for k, c in values.items()]))
+    s = scalars.of_documents(_documents(spark, sf_dir), ["counts", "marks", "word_length", "orthography", "diversity"], keep=("lang", "doc_id"))
+    step = F.abs(F.lead(F.log1p("n_words")).over(Window.partitionBy("doc_id").orderBy("sent_idx")) - F.log1p("n_words"))
+    values = s.select("lang", "doc_id", "sent_idx", F.col("n_words").cast("int").alias("n_words"), "comma_rate", "avg_word_length", "uppercase_ratio", "type_token_ratio", step.alias("step"))
+    return rounded(values)
 
 
 def chars(kept: str) -> str:
@@ -128,7 +126,7 @@ SQL = {
 def _register(group: str) -> None:
     @query(f"WITH {PREP} SELECT doc_id, sent_idx, {rounded_sql(SQL[group])} FROM prep", name=f"scalars_{group}")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(scalars.measured(sentences(_documents(spark, sf_dir)), [group]))
+        return rounded(scalars.of_documents(_documents(spark, sf_dir), [group]))
 
 
 for _group in SQL:

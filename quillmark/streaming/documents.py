@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillmark.functions import scalars
-from quillmark.sources.readers import sentences
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -20,7 +19,7 @@ def read_documents(spark: SparkSession, path: str, files_each: int = 16) -> Data
 
 def measured(documents: DataFrame, groups: list[str] | None = None) -> DataFrame:
     """Scalars of every sentence; no state, so it is the same on a stream and on a table."""
-    return scalars.measured(sentences(documents), groups)
+    return scalars.of_documents(documents, groups)
 
 
 def segment_stream(decided: DataFrame, minutes: int = 60) -> DataFrame:
