@@ -75,3 +75,19 @@ def test_no_expression_for_each_word(spark, sf_dir, query):
 
 def test_embedding_input_joins_nothing(spark, sf_dir):
     assert "Join" not in plan("embedding_input", spark, sf_dir)
+
+
+def test_document_numbers_over_arrays_as_one_by_one(monkeypatch):
+    from quillmark.operators import documents
+
+    lines = texts()
+    rng = random.Random(5)
+    docs = ["", None, "one", "É’tis ½ abc ſ İstanbul\nISTANBUL iİI ²³ a_b ΟΔΟΣ\n\n!!\n²x", *("\n".join(rng.choices(lines, k=rng.randrange(1, 200))) for _ in range(20))]
+    each = [flat.sentences(pa.array([d], pa.string()))[2].to_pylist() for d in docs]
+    style = np.array([documents.style_vector(s) for d in each for s in d])
+    wanted = np.array([documents.document_numbers(d, style.mean(0), style.std(0)) for d in each])
+    batch = documents.Batch(pa.array(docs))
+    assert np.allclose(batch.styles(), style) and np.allclose(batch.numbers(style.mean(0), style.std(0)), wanted)
+    monkeypatch.setattr(documents, "style_vector", None)  # neither is used for whole tables
+    assert documents.Batch(pa.array(docs[:3])).numbers(style.mean(0), style.std(0)).shape == (3, 16)
+    assert documents.topic_buckets(pa.array(["abc", "é😀x", "ünïted"])).tolist() == [documents.topic_bucket(w) for w in ("abc", "é😀x", "ünïted")]
