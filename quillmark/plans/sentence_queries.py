@@ -142,9 +142,8 @@ hits AS (SELECT doc_id, sent_idx, count(rank) AS n FROM (SELECT doc_id, sent_idx
 classes AS (SELECT doc_id, sent_idx, sum(log2(1 + coalesce(rank, {FREQUENT} + 1))) AS s FROM (SELECT doc_id, sent_idx, unnest(lw) AS word FROM a) LEFT JOIN ranked USING (word) GROUP BY ALL)
 SELECT doc_id, sent_idx, round(coalesce(n, 0) / per_token, 6) AS frequent_word_ratio, round(coalesce(s, 0) / per_word, 6) AS avg_word_freq_class FROM a LEFT JOIN hits USING (doc_id, sent_idx) LEFT JOIN classes USING (doc_id, sent_idx)""")
 def scalars_frequent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = sentences(_documents(spark, sf_dir))
-    ranked = frequent_words(scalars.prepared(s).select(F.explode("lw").alias("word")), FREQUENT)
-    return rounded(scalars.measured(s, ["frequency"], frequent=ranked))
+    docs = _documents(spark, sf_dir)
+    return rounded(scalars.of_documents(docs, ["frequency"], frequent=frequent_words(scalars.word_counts(docs), FREQUENT)))
 
 
 @query(f"""WITH {PREP}, n AS (SELECT count(*) AS n FROM prep),
