@@ -91,3 +91,18 @@ def test_document_numbers_over_arrays_as_one_by_one(monkeypatch):
     monkeypatch.setattr(documents, "style_vector", None)  # neither is used for whole tables
     assert documents.Batch(pa.array(docs[:3])).numbers(style.mean(0), style.std(0)).shape == (3, 16)
     assert documents.topic_buckets(pa.array(["abc", "é😀x", "ünïted"])).tolist() == [documents.topic_bucket(w) for w in ("abc", "é😀x", "ünïted")]
+
+
+def test_frequent_words_are_counted_in_the_batches(spark, sf_dir):
+    from quillmark.functions.lexicon import frequent_words
+
+    docs = spark.createDataFrame([(1, "B b a\nThe the"), (2, "a the b-B"), (3, None)], "doc_id long, text string")
+    counted = scalars.word_counts(docs)
+    assert frequent_words(counted, 2) == ["the", "a"] and "lambda" not in plan("scalars_frequent", spark, sf_dir)
+
+
+def test_pair_matrix_is_made_once(spark, sf_dir):
+    from quillmark.plans.model_queries import pair_matrix
+
+    matrix, _ = pair_matrix(spark, sf_dir)
+    assert matrix.storageLevel.useDisk and "InMemoryTableScan" in matrix.select("label")._jdf.queryExecution().executedPlan().toString()
